@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import canon
+from cloakframe.llm import canon, lookalike
 from cloakframe.llm.sql import SQL  # noqa: F401
 from cloakframe.sources.tables import table
 
@@ -19,4 +19,17 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("field_name", "code").agg(F.count("*").alias("entries"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
+def p4_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """Every name and response that was not in its consistent form, with that form."""
+    names = table(spark, d, "pupil_records").select(F.lit("pupil_records").alias("origin"), F.col("record_id").alias("row_id"), F.col("pupil_name").alias("text"))
+    texts = table(spark, d, "responses").select(F.lit("responses").alias("origin"), F.col("response_id").alias("row_id"), "text")
+    both = names.unionByName(texts)
+    counts = lookalike.count_characters(both.select("text"))
+    return lookalike.consistent(both, ["origin", "row_id"], "text", counts).select("origin", "row_id", F.col("after").alias("text")).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_rewritten(spark, d).select("origin", "row_id").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_rewritten": p4_rewritten, "p5_found": p5_found, "p5_report": p5_report}
