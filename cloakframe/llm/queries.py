@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import canon, lookalike
+from cloakframe.llm import canon, lookalike, pii
 from cloakframe.llm.sql import SQL  # noqa: F401
 from cloakframe.sources.tables import table
 
@@ -32,4 +32,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_rewritten(spark, d).select("origin", "row_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_rewritten": p4_rewritten, "p5_found": p5_found, "p5_report": p5_report}
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "pupil_records")
+    return pii.personal_spans(records, "record_id", "comments", records, "pupil_name")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.numbered(_spans(spark, d), "record_id")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every comment with placeholders in place of the personal information."""
+    rows = table(spark, d, "pupil_records").select("record_id", "comments")
+    return pii.redact(rows, "record_id", "comments", _spans(spark, d)).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_rewritten": p4_rewritten, "p5_found": p5_found, "p5_report": p5_report}
