@@ -32,6 +32,9 @@ LEAST = 3
 
 TITLES = frozenset("mr mrs ms miss dr prof mx".split())
 RELATIONS = frozenset("brother sister twin cousin friend step-brother step-sister stepbrother stepsister carer grandparent nan gran grandad grandma mum dad mother father uncle aunt parent guardian worker teacher tutor".split())
+#: Words after which, or before which, a capitalised word of no known spelling may be a name.
+STRONG_LEFT = frozenset("with praise could cc".split()) | RELATIONS
+STRONG_RIGHT = frozenset("gave has must signed attends started".split())
 LEFT_CUES = frozenset("with to by for from and cc praise could today after than see tell ask support helped beside either referred seen spoke dear is of when not".split())
 RIGHT_CUES = frozenset("is was has had must can could should did does gave came read signed attends started left rang runs asked informed needs works wants will's said seems".split())
 IDIOM = frozenset("of to under ahead scheme schemes discussion discussions need be see missing the a in on for reading list and with report it".split())
@@ -56,7 +59,7 @@ _LOWER = r"(?!(?:of|the|a|in|on|for|and|to|at|from|by|more|per|is|was)\s)[^\W\d_
 ADDRESS = re.compile(
     rf"(?:(?:(?:{_UNIT},?\s)?(?:[Nn]o\.?\s?|[Nn]umber\s)?\d{{1,4}}[A-Za-z]?,?\s|{_UNIT},\s|(?:[Nn]umber\s\d+\s{_NAMED}|(?:[Tt]he\s)?{_NAMED}(?:\s{_NAMED})?),\s)(?:{_NAMED}\s){{1,2}}"
     rf"|(?:{_UNIT},?\s)?(?:[Nn]o\.?\s?|[Nn]umber\s)?\d{{1,4}}[A-Za-z]?,?\s(?:{_LOWER}\s){{1,2}})"
-    rf"(?i:{STREETS})\b\.?(?:,?\s(?!(?i:page|see|and|the)\b){_NAMED}(?=,|\s{POSTCODE}|[\s.;:!?)]|$))?(?:,?\s{POSTCODE})?"
+    rf"(?i:{STREETS})\b\.?(?:,\s(?!(?i:page|see|and|the)\b){_NAMED}(?=,|[\s.;:!?)]|$)|\s{_NAMED}(?=,?\s{POSTCODE}))?(?:,?\s{POSTCODE})?"
 )
 _LETTERS = r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff])*"
 TOKEN = re.compile(rf"{_LETTERS}(?:['’\-]{_LETTERS})*")
@@ -189,7 +192,7 @@ class Finder:
                 continue
             core = self._core(word)
             start = self._starts_sentence(text, m.start())
-            if core in self.known or (not start and core not in NOT_NAMES and len(core) > 1 and self._cue(text, tokens, i) and self.like(core)):
+            if core in self.known or (not start and core not in NOT_NAMES and len(core) > 1 and (self._cue(text, tokens, i) and self.like(core) or self._stranger(text, tokens, i))):
                 j = self._run(text, tokens, i, n)
                 self._emit(text, tokens, i, j, False, out, taken)
                 i = j
@@ -223,6 +226,14 @@ class Finder:
         prev = tokens[i - 1][0].lower()
         return gap in (" ", ", ", " (", ": ") and (prev in LEFT_CUES or prev in RELATIONS)
 
+    def _stranger(self, text, tokens, i) -> bool:
+        """A capitalised word of unknown spelling where only a person fits."""
+        if len(tokens[i][0]) < 3 or not tokens[i][0][1:].islower():
+            return False
+        before = i > 0 and self._gap(text, tokens, i - 1) in (" ", ", ") and tokens[i - 1][0].lower() in STRONG_LEFT
+        after = i + 1 < len(tokens) and self._gap(text, tokens, i) == " " and tokens[i + 1][0] in STRONG_RIGHT
+        return before or after
+
     def _titled(self, text, tokens, i, n) -> int:
         """End of the run after a title, 0 if no name follows."""
         gap = self._gap(text, tokens, i)
