@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,9 +64,10 @@ class Classes:
         return list(out.values())
 
 
-@lru_cache(4096)
 def script(letter: str) -> str:
     """First word of a letter's name: LATIN, GREEK, CYRILLIC, ... ; empty for what is no letter."""
+    if letter < "\x80":
+        return "LATIN" if letter.isalpha() else ""
     return unicodedata.name(letter, "").split(" ", 1)[0] if letter.isalpha() else ""
 
 
@@ -217,20 +217,17 @@ def count_characters(column: DataFrame) -> dict[str, int]:
 
 
 def _rewriters(counts: dict[str, int]):
-    """A function that gives this process's rewriter, built once in each Python worker."""
-    key = tuple(sorted(counts.items()))
+    """A function that gives the rewriter, built once for each task that needs it."""
+    built: list[Rewriter] = []
 
     def get() -> Rewriter:
-        if _rewriters.cache.get("key") != key:
-            _rewriters.cache.update(key=key, rewriter=Rewriter(counts))
-        return _rewriters.cache["rewriter"]
+        if not built:
+            built.append(Rewriter(counts))
+        return built[0]
 
     return get
 
 
-_rewriters.cache = {}
-
-
 def consistent(rows: DataFrame, key: list[str], text: str, counts: dict[str, int]) -> DataFrame:
     """(key, before, after) of the rows whose text is not already in its consistent form.
 

@@ -6,13 +6,13 @@ a prefix of its rarest q-grams is indexed, just long enough that two names with
 the wanted overlap must share one, together with one feature for each token and
 the first letter of another, through which initials are found. Pairs that meet
 are verified by soft weighted token similarity, in which tokens of rare q-grams
-count more. Each spelling then points to its best fuller spelling; what ends at
-the same spelling is one person.
+count more. Full spellings that are similar, and each one with initials with its
+best partner, are edges; what hangs together is one person.
 
 Defined results: null or letterless names link to nothing; repeated deliveries
 count once; two records of one class and term are never one pupil; equal strings
-give no row; equal scores are settled by the fuller, then more frequent, then
-alphabetically first spelling.
+give no row; of equal scores an initial goes to the fuller, then more frequent,
+then alphabetically last spelling.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d
 _SPECIAL = {"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h"}
 _LETTERS = {k: v.replace("_", "") for k, v in (_CYRILLIC | _GREEK | _SPECIAL).items()}
 #: Accented letters of Latin-1 and Latin Extended-A whose folding is one letter, by rule.
-_ACCENTED = {c: p for n in range(0xC0, 0x180) for c in [chr(n).lower()] if len(p := _LETTERS.get(c, unicodedata.normalize("NFKD", c)[:1])) == 1 and p.isascii()}
+_ACCENTED = {c: p for n in range(0xC0, 0x180) for c in [chr(n).lower()] if len(c) == 1 and len(p := _LETTERS.get(c, unicodedata.normalize("NFKD", c)[:1])) == 1 and p.isascii()}
 
 
 def fold(name: str) -> str:
@@ -240,7 +240,7 @@ def spellings(records: DataFrame) -> DataFrame:
 
 
 def linked_spellings(rows: DataFrame, real: frozenset[str] | None = None) -> DataFrame:
-    """(class_id, key, person): the spelling at which each linked spelling ends.
+    """(class_id, key, person): the person that each linked spelling means.
 
     A spelling found in every term of its class cannot belong to another, since
     a class lists each pupil once a term; it takes no part.
@@ -288,22 +288,33 @@ def linked_spellings(rows: DataFrame, real: frozenset[str] | None = None) -> Dat
         .filter(F.col("score") >= SIMILAR)
     )
 
-    def rank(t: str, n: str, k: str) -> Column:
-        full = F.size(F.filter(t, lambda x: F.length(x) > 1))
-        return F.struct(F.least(full, F.lit(2)).alias("full"), F.col(n).alias("n"), (-full).alias("middle"), F.col(k).alias("k"))
+    full = lambda t: F.size(F.filter(t, lambda x: F.length(x) > 1))
+    scored = settle(
+        scored.select("x", "y", F.round("score", 6).alias("score"), F.least(full("tx"), F.lit(2)).alias("fx"), F.least(full("ty"), F.lit(2)).alias("fy"), "nx", "ny", "kx", "ky"), "pairs"
+    )
+    # an initial may fit several pupils: only its best partner counts
+    one = lambda a, b: scored.filter(f"f{a} < 2").select(F.col(a).alias("x"), F.struct("score", f"f{b}", f"n{b}", f"k{b}").alias("r"), F.col(b).alias("y"))
+    part = one("x", "y").unionByName(one("y", "x").withColumn("r", F.struct("r.score", F.col("r.fx").alias("fy"), F.col("r.nx").alias("ny"), F.col("r.kx").alias("ky"))))
+    edges = scored.filter("fx = 2 AND fy = 2").select("x", "y").unionByName(part.groupBy("x").agg(F.max_by("y", "r").alias("y")))
+    return components(edges).join(open_.select("id", "class_id", "key"), "id").select("class_id", "key", "person")
 
-    both = scored.select(
-        F.col("cx").alias("class_id"), F.round("score", 6).alias("score"), rank("tx", "nx", "kx").alias("rx"), rank("ty", "ny", "ky").alias("ry"), "kx", "ky"
-    ).withColumn("up", F.col("rx") < F.col("ry"))
-    links = both.select(
-        "class_id", F.when(F.col("up"), F.col("kx")).otherwise(F.col("ky")).alias("key"),
-        F.struct("score", F.when(F.col("up"), F.col("ry")).otherwise(F.col("rx")).alias("r"), F.when(F.col("up"), F.col("ky")).otherwise(F.col("kx")).alias("to")).alias("best"),
-    )
-    parent = settle(links.groupBy("class_id", "key").agg(F.max("best")["to"].alias("person")), "links")
-    for _ in range(3):  # a chain runs from initials over slips to the full spelling
-        up = parent.select("class_id", F.col("key").alias("person"), F.col("person").alias("above"))
-        parent = parent.join(up, ["class_id", "person"], "left").select("class_id", "key", F.coalesce("above", "person").alias("person"))
-    return parent
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, person): the smallest id that each id of the edges (x, y) can reach.
+
+    Labels spread along the edges until none changes; every round is written
+    to the shared folder, and nothing but a count reaches the driver.
+    """
+    from cloakframe.sources.tables import settle
+
+    both = settle(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    labels = settle(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("id")).alias("person")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("y"), "person"), "y").groupBy(F.col("x").alias("id")).agg(F.min("person").alias("near"))
+        new = settle(labels.join(near, "id").select("id", F.least("person", "near").alias("person"), (F.col("near") < F.col("person")).alias("moved")), "labels")
+        labels = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            return labels
 
 
 def same_pupils(rows: DataFrame, real: frozenset[str] | None = None) -> DataFrame:
@@ -315,7 +326,7 @@ def same_pupils(rows: DataFrame, real: frozenset[str] | None = None) -> DataFram
 
     who = linked_spellings(rows, real)
     named = rows.select("class_id", "record_id", "term", "pupil_name", "key").join(who, ["class_id", "key"], "left").select(
-        "class_id", "record_id", "term", "pupil_name", F.coalesce("person", "key").alias("person")
+        "class_id", "record_id", "term", "pupil_name", F.coalesce("person", F.xxhash64("class_id", "key")).alias("person")
     )
     named = settle(named.distinct(), "pupils")
     many = named.groupBy("class_id", "person").agg(F.min("pupil_name").alias("lo"), F.max("pupil_name").alias("hi")).filter("lo <> hi").select("class_id", "person")

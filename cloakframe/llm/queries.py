@@ -57,7 +57,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_people(spark: SparkSession, d: str) -> DataFrame:
-    """Every spelling of a class with the spelling at which it ends."""
+    """Every spelling of a class that is linked to another, with the person meant."""
     rows = settle(names.spellings(table(spark, d, "pupil_records")), "names")
     return names.linked_spellings(rows).select("class_id", F.col("key").alias("spelling"), "person")
 
