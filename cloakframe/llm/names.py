@@ -82,6 +82,10 @@ def fold(name: str) -> str:
     return " ".join(re.findall(r"[^\W\d_]+", re.sub(r"['’`´\-]", "", "".join(plain))))
 
 
+#: ASCII, and the letters that fold to one letter: such names are folded inside the JVM.
+PLAIN_NAME = r"^[\x00-\x7F" + "".join(_ACCENTED) + "".join(sorted({c.upper() for c in _ACCENTED if len(c.upper()) == 1})) + r"’]*+$"
+
+
 def folded(rows: DataFrame, name: str) -> DataFrame:
     """The rows with ``tokens``, the folding of ``name``; only odd characters need Python."""
     rewrite = lookalike._rewriters({})
@@ -91,14 +95,13 @@ def folded(rows: DataFrame, name: str) -> DataFrame:
         form = rewrite()
         return s.map(lambda x: fold(form(x)), na_action="ignore")
 
-    plain = F.col(name).rlike(r"^[\x00-\x7F\u00C0-\u017F]*+$")
-    n = F.regexp_replace(F.lower(F.col(name)), r"^\s*([^,]*[^,\s])\s*,\s*([^\s].*)$", "$2 $1")
-    n = F.regexp_replace(F.translate(n, "".join(_ACCENTED), "".join(_ACCENTED.values())), r"['’`´\-]", "")
-    for c, p in _SPECIAL.items():
-        if len(p) > 1:
-            n = F.regexp_replace(n, c, p)
-    quick = F.trim(F.regexp_replace(n, r"[^\p{L}]+", " "))
-    return rows.filter(plain).withColumn("tokens", quick).unionByName(rows.filter(~plain).withColumn("tokens", slow(F.col(name)))).withColumn("tokens", F.split("tokens", " "))
+    plain = F.col(name).rlike(PLAIN_NAME)
+    n = F.col(name)
+    n = F.when(n.contains(","), F.regexp_replace(n, r"^\s*([^,]*[^,\s])\s*,\s*([^\s].*)$", "$2 $1")).otherwise(n)
+    n = F.translate(F.lower(n), "".join(_ACCENTED) + "._'’`´-", "".join(_ACCENTED.values()) + "  ")
+    quick = F.filter(F.split(n, r"[^\p{L}]+"), lambda t: t != "")
+    odd = rows.filter(~plain).withColumn("tokens", F.split(slow(F.col(name)), " "))
+    return rows.filter(plain).withColumn("tokens", quick).unionByName(odd)
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -149,11 +152,19 @@ def token_similarity(a: str, b: str, real: frozenset[str]) -> float:
     return 0.0
 
 
-def similarity(a: list[str], b: list[str], weight: Callable[[str], float], real: frozenset[str]) -> float:
+def similarity(a: list[str], b: list[str], weight: Callable[[str], float], real: frozenset[str], met: dict[tuple[str, str], float]) -> float:
     """Soft weighted similarity of two names; 0 if a first or last token has no counterpart.
 
-    A middle token may be missing from the other name.
+    A middle token may be missing from the other name. ``met`` remembers pairs of tokens.
     """
+
+    def alike(x: str, y: str) -> float:
+        if x == y:
+            return 1.0
+        if (x, y) not in met:
+            met[x, y] = token_similarity(x, y, real)
+        return met[x, y]
+
     if len(a) < len(b):
         a, b = b, a
     if len(b) < 2 or len(a) > 4:
@@ -161,10 +172,10 @@ def similarity(a: list[str], b: list[str], weight: Callable[[str], float], real:
     best = 0.0
     if len(a) > len(b):
         if len(a) == 3:  # a double-barrelled surname written apart, or joined
-            best = max(similarity([a[0], a[1] + a[2]], b, weight, real), similarity([a[0] + a[1], a[2]], b, weight, real))
+            best = max(similarity([a[0], a[1] + a[2]], b, weight, real, met), similarity([a[0] + a[1], a[2]], b, weight, real, met))
         a = [a[0], *a[len(a) - len(b) + 1 :]]
     for order in ([*b], b[::-1]) if len(b) == 2 else ([*b],):
-        sims = [token_similarity(x, y, real) for x, y in zip(a, order, strict=True)]
+        sims = [alike(x, y) for x, y in zip(a, order, strict=True)]
         if min(sims) <= 0 or max(s if min(len(x), len(y)) > 2 else 0 for s, x, y in zip(sims, a, order, strict=True)) < 0.75:
             continue
         ws = [max(weight(x), weight(y)) for x, y in zip(a, order, strict=True)]
@@ -187,82 +198,113 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
     return {g: math.log(1 + total / n) for g, n in counts.items()}
 
 
-def features(tokens: list[str], weights: dict[str, float]) -> list[str]:
-    """The rarest q-grams of a name, as many as the overlap needs, and each token with each other initial,
-    and the full forms of short first names."""
-    rare = max(weights.values(), default=1.0)
-    owned = sorted({g for t in tokens for g in grams(t)}, key=lambda g: (-weights.get(g, rare), g))
-    left = total = sum(weights.get(g, rare) for g in owned)
+def features(tokens: list[str], weights: dict[str, float], cut: dict[str, list]) -> list[str]:
+    """The rarest q-grams of a name, as many as the overlap needs, each token with each other initial,
+    and the full forms of short first names. ``cut`` remembers the q-grams of tokens."""
+    owned: list[tuple[float, str]] = []
+    for t in tokens:
+        if t not in cut:
+            rare = max(weights.values(), default=1.0)
+            cut[t] = [(-weights.get(g, rare), g) for g in grams(t)]
+        owned += cut[t]
+    owned = sorted(set(owned))
+    left = total = -sum(w for w, _ in owned)
     out = []
-    for g in owned:
+    for w, g in owned:
         if left < OVERLAP * total:
             break
         out.append(g)
-        left -= weights.get(g, rare)
+        left += w
     out += {f"={f}" for t in tokens for f in (t, *_FULL.get(t, ())) if f in SHORT_FORMS}
     return out + [f"{x}|{y[0]}" for i, x in enumerate(tokens) for j, y in enumerate(tokens) if i != j and len(x) > 1]
 
 
 def real_tokens(names: DataFrame) -> frozenset[str]:
-    """Tokens that are common enough to be names of their own, at most 1 / REAL of them."""
-    counted = names.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    kept = counted.join(total, F.col("n") >= F.greatest(F.col("total") * REAL, F.lit(LEAST_REAL)))
-    return frozenset(r["t"] for r in kept.filter(F.length("t") > 1).select("t").collect())
+    """Tokens of ``names`` (tokens, n) that are common enough to be names of their own, at most 1 / REAL of them."""
+    counted = names.select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    kept = counted.filter((F.col("n") >= max(total * REAL, LEAST_REAL)) & (F.length("t") > 1))
+    return frozenset(r["t"] for r in kept.select("t").collect())
 
 
 _BOYS, _GIRLS = ("m", "male", "boy", "man", "lad", "b", "masc", "masculine", "he/him"), ("f", "female", "girl", "woman", "lass", "g", "fem", "feminine", "she/her")
 
 
-def _steady(value: str, classes: dict[str, tuple[str, ...]]) -> Column:
-    v = F.trim(F.regexp_replace(F.lower(F.col(value)), r"[().]", ""))
-    out = F.lit(None).cast("string")
-    for code, words in classes.items():
-        out = F.when(v.isin(*words), code).otherwise(out)
+def _steady(value: str, classes: tuple[tuple[str, ...], ...]) -> Column:
+    """A bit for the class of a value, 0 where it is unknown."""
+    v = F.regexp_replace(F.lower(F.trim(F.col(value))), r"[().]", "")
+    out = F.lit(0)
+    for i, words in enumerate(classes):
+        out = F.when(v.isin(*words), 1 << i).otherwise(out)
     return out
 
 
-def _agree(x: str) -> Column:
-    """Two sets of what is known of a pupil, neither or both of which hold something else."""
-    a, b = F.col(f"a.{x}"), F.col(f"b.{x}")
-    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+#: Terms that one mask holds.
+BITS = 62
 
 
-def spellings(records: DataFrame) -> DataFrame:
-    """One row per class and folded name, with its terms and what is steady of the pupil."""
-    rows = folded(records.filter("class_id IS NOT NULL AND pupil_name IS NOT NULL"), "pupil_name").select(
-        "class_id", "record_id", "term", "pupil_name", "tokens",
-        F.array_join(F.array_sort("tokens"), " ").alias("key"),
-        _steady("gender", {"M": _BOYS, "F": _GIRLS, "X": ("x",), "U": ("u",)}).alias("sex"),
-        _steady("pp", {"Y": ("yes", "y"), "N": ("no", "n")}).alias("pp"), _steady("eal", {"Y": ("yes", "y"), "N": ("no", "n")}).alias("eal"),
-    )
-    return rows.filter("key <> ''")
+class Spellings:
+    """The records of a table with their folded names, and each class's distinct spellings.
+
+    ``records``: class_id, key, record_id, name (its hash) and a mask of the
+    term. ``keys``: one row per class and key with what its records have in
+    common. A key is the tokens in order of the alphabet if there are two, in
+    typed order otherwise. The list of terms (of a school system, some dozens)
+    is read to the driver to give each term its bit; ``masks`` are as many
+    columns as the terms need.
+    """
 
+    def __init__(self, table: DataFrame) -> None:
+        from cloakframe.sources.tables import settle
 
-def linked_spellings(rows: DataFrame, real: frozenset[str] | None = None) -> DataFrame:
-    """(class_id, key, person): the person that each linked spelling means.
+        rows = table.filter("class_id IS NOT NULL AND pupil_name IS NOT NULL AND record_id IS NOT NULL")
+        terms = sorted(r["term"] for r in rows.filter("term IS NOT NULL").select("term").distinct().collect())
+        self.masks = [f"m{i}" for i in range(max(1, math.ceil(len(terms) / BITS)))]
+
+        def bit(part: list[str]) -> Column:
+            known = F.create_map(*(F.lit(x) for i, t in enumerate(part) for x in (t, 1 << i))) if part else None
+            return (F.coalesce(known[F.col("term")], F.lit(0)) if part else F.lit(0)).cast("long")
+
+        key = F.when(F.size("tokens") == 2, F.concat_ws(" ", F.array_sort("tokens"))).otherwise(F.concat_ws(" ", "tokens"))
+        yes_no = (("yes", "y"), ("no", "n"))
+        self.records = settle(
+            folded(rows, "pupil_name").withColumn("key", key).filter("key <> ''").select(
+                "class_id", "key", "record_id", F.xxhash64("pupil_name").alias("name"), *(bit(terms[i * BITS : (i + 1) * BITS]).alias(m) for i, m in enumerate(self.masks)),
+                _steady("gender", (_BOYS, _GIRLS, ("x",), ("u",))).alias("sex"), _steady("pp", yes_no).alias("pp"), _steady("eal", yes_no).alias("eal"),
+            ), "names",
+        )
+        self.keys = settle(
+            self.records.groupBy("class_id", "key").agg(
+                *(F.bit_or(c).alias(c) for c in (*self.masks, "sex", "pp", "eal")), F.count("*").alias("n"), (F.min("name") != F.max("name")).alias("several")
+            ).withColumn("id", F.xxhash64("class_id", "key")), "spellings",
+        )
+        self.real = real_tokens(self.keys.groupBy("key").agg(F.sum("n").alias("n")).select(F.split("key", " ").alias("tokens"), "n"))
+
+
+def linked_spellings(names: Spellings) -> DataFrame:
+    """(id, person): the person that each linked spelling means.
 
     A spelling found in every term of its class cannot belong to another, since
     a class lists each pupil once a term; it takes no part.
     """
     from cloakframe.sources.tables import settle
 
-    per = rows.groupBy("class_id", "key").agg(
-        F.collect_set("term").alias("terms"), F.min("tokens").alias("tokens"), F.collect_set("sex").alias("sex"), F.collect_set("pp").alias("pp"), F.collect_set("eal").alias("eal")
-    )
-    whole = rows.groupBy("class_id").agg(F.countDistinct("term").alias("n_terms"))
-    open_ = settle(per.join(whole, "class_id").filter(F.size("terms") < F.col("n_terms")).drop("n_terms").withColumn("id", F.xxhash64("class_id", "key")), "spellings")
+    real, masks = names.real, names.masks
+    whole = names.keys.groupBy("class_id").agg(*(F.bit_or(m).alias(f"all_{m}") for m in masks))
+    missing = " OR ".join(f"{m} <> all_{m}" for m in masks)
+    open_ = settle(names.keys.join(whole, "class_id").filter(missing).select("id", "class_id", "key", F.split("key", " ").alias("tokens"), *masks, "sex", "pp", "eal", "n"), "open")
     weights = gram_weights(open_)
-    real = real_tokens(rows) if real is None else real
     light = min(weights.values(), default=1.0)
 
     @F.pandas_udf("array<string>")
     def indexed(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: features(list(t), weights))
+        cut: dict[str, list] = {}
+        return s.map(lambda t: features(t.split(" "), weights, cut))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[str, float] = {}
+        met: dict[tuple[str, str], float] = {}
 
         def weight(token: str) -> float:
             if len(token) == 1:
@@ -271,32 +313,31 @@ def linked_spellings(rows: DataFrame, real: frozenset[str] | None = None) -> Dat
                 known[token] = max(weights.get(g, light) for g in grams(token))
             return known[token]
 
-        return pd.Series([similarity(list(x), list(y), weight, real) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    cut = open_.select("id", "class_id", "terms", "sex", "pp", "eal", F.explode(indexed("tokens")).alias("g")).select("id", "terms", "sex", "pp", "eal", F.xxhash64("class_id", "g").alias("h"))
-    met = (
-        cut.alias("a").join(cut.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
-        .filter(~F.arrays_overlap("a.terms", "b.terms") & _agree("sex") & _agree("pp") & _agree("eal"))
-        .select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    )
-    side = open_.select("id", "class_id", "key", "tokens", F.size("terms").alias("n"))
-    scored = (
-        met.join(side.select(F.col("id").alias("x"), F.col("class_id").alias("cx"), F.col("tokens").alias("tx"), F.col("key").alias("kx"), F.col("n").alias("nx")), "x")
-        .join(side.select(F.col("id").alias("y"), F.col("class_id").alias("cy"), F.col("tokens").alias("ty"), F.col("key").alias("ky"), F.col("n").alias("ny")), "y")
-        .filter("cx = cy")
-        .withColumn("score", alike("tx", "ty"))
-        .filter(F.col("score") >= SIMILAR)
+        return pd.Series([similarity(x.split(" "), y.split(" "), weight, real, met) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    steady = ("sex", "pp", "eal")
+    cut = open_.select("id", *masks, *steady, F.explode(indexed("key")).alias("g"), "class_id").select(F.xxhash64("class_id", "g").alias("h"), "id", *masks, *steady)
+    apart = [(F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0) for m in masks]
+    # what is known of both must not differ, unless one of them holds both values
+    agree = [(F.col(f"a.{x}") == 0) | (F.col(f"b.{x}") == 0) | (F.col(f"a.{x}").bitwiseAND(F.col(f"b.{x}")) != 0) for x in steady]
+    may = (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))
+    for c in (*apart, *agree):
+        may = may & c
+    met = cut.alias("a").join(cut.alias("b"), may).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    side = lambda z: open_.select(F.col("id").alias(z), F.col("class_id").alias(f"c{z}"), F.col("key").alias(f"k{z}"), F.col("n").alias(f"n{z}"))
+    full = lambda k: F.least(F.size(F.filter(F.split(k, " "), lambda x: F.length(x) > 1)), F.lit(2))
+    scored = settle(
+        met.join(side("x"), "x").join(side("y"), "y").filter("cx = cy").withColumn("score", F.round(alike("kx", "ky"), 6)).filter(F.col("score") >= SIMILAR)
+        .select("x", "y", "score", full("kx").alias("fx"), full("ky").alias("fy"), "nx", "ny", "kx", "ky"), "pairs",
     )
 
-    full = lambda t: F.size(F.filter(t, lambda x: F.length(x) > 1))
-    scored = settle(
-        scored.select("x", "y", F.round("score", 6).alias("score"), F.least(full("tx"), F.lit(2)).alias("fx"), F.least(full("ty"), F.lit(2)).alias("fy"), "nx", "ny", "kx", "ky"), "pairs"
-    )
+    def one(a: str, b: str) -> DataFrame:
+        rank = F.struct("score", F.col(f"f{b}").alias("f"), F.col(f"n{b}").alias("n"), F.col(f"k{b}").alias("k"))
+        return scored.filter(f"f{a} < 2").select(F.col(a).alias("x"), rank.alias("r"), F.col(b).alias("y"))
+
     # an initial may fit several pupils: only its best partner counts
-    one = lambda a, b: scored.filter(f"f{a} < 2").select(F.col(a).alias("x"), F.struct("score", f"f{b}", f"n{b}", f"k{b}").alias("r"), F.col(b).alias("y"))
-    part = one("x", "y").unionByName(one("y", "x").withColumn("r", F.struct("r.score", F.col("r.fx").alias("fy"), F.col("r.nx").alias("ny"), F.col("r.kx").alias("ky"))))
-    edges = scored.filter("fx = 2 AND fy = 2").select("x", "y").unionByName(part.groupBy("x").agg(F.max_by("y", "r").alias("y")))
-    return components(edges).join(open_.select("id", "class_id", "key"), "id").select("class_id", "key", "person")
+    part = one("x", "y").unionByName(one("y", "x")).groupBy("x").agg(F.max_by("y", "r").alias("y"))
+    return components(scored.filter("fx = 2 AND fy = 2").select("x", "y").unionByName(part))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,31 +358,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def same_pupils(rows: DataFrame, real: frozenset[str] | None = None) -> DataFrame:
-    """(left_id, right_id): records of one class that mean one pupil under unequal spellings.
-
-    ``rows`` are the spellings() of the records, best as a written table.
-    """
-    from cloakframe.sources.tables import settle
-
-    who = linked_spellings(rows, real)
-    named = rows.select("class_id", "record_id", "term", "pupil_name", "key").join(who, ["class_id", "key"], "left").select(
-        "class_id", "record_id", "term", "pupil_name", F.coalesce("person", F.xxhash64("class_id", "key")).alias("person")
+def same_pupils(names: Spellings) -> DataFrame:
+    """(left_id, right_id): records of one class that mean one pupil under unequal spellings."""
+    who = linked_spellings(names)
+    # spellings that are alone and always typed alike have no pair and stay out
+    person = names.keys.select("class_id", "key", "id", "several").join(who, "id", "left").filter("several OR person IS NOT NULL").select(
+        "class_id", "key", F.coalesce("person", "id").alias("person")
     )
-    named = settle(named.distinct(), "pupils")
-    many = named.groupBy("class_id", "person").agg(F.min("pupil_name").alias("lo"), F.max("pupil_name").alias("hi")).filter("lo <> hi").select("class_id", "person")
-    some = named.join(many, ["class_id", "person"], "left_semi")
+    some = names.records.join(person, ["class_id", "key"]).select("person", "record_id", "name", *names.masks)
     a, b = some.alias("a"), some.alias("b")
-    same = (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.person") == F.col("b.person"))
-    return a.join(b, same & (F.col("a.record_id") < F.col("b.record_id"))).filter("a.pupil_name <> b.pupil_name AND NOT (a.term <=> b.term)").select(
-        F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id")
-    ).distinct()
+    may = (F.col("a.person") == F.col("b.person")) & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.name") != F.col("b.name"))
+    for m in names.masks:
+        may = may & (F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0)
+    return a.join(b, may).select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id")).distinct()
 
 
 TITLE = r"(?i:\b(?:mr|mrs|ms|miss|dr)\b)"
 _WORD = r"[\p{L}\p{M}'’\-\u00AD\u200B-\u200F\u2060\uFEFF]+"
 TITLED = rf"{TITLE}\.?[ \u00A0]+{_WORD}\.?(?:[ \u00A0]{_WORD}\.?)?"
-UNTITLED = rf"(?<![\p{{L}}'’\-.])(?=\P{{Ll}}|{_WORD}-\p{{Lu}})(?!{TITLE}){_WORD}\.?,?[ \u00A0](?=\P{{Ll}}|{_WORD}-\p{{Lu}}){_WORD}"
+_CAPITAL = r"(?:\p{Lu}|(?:bin|de|al|el|le|van|von)-\p{Lu})"
+_REST = _WORD.replace("]+", "]*+")
+UNTITLED = rf"(?={_CAPITAL})(?<![\p{{L}}'’\-.])(?!{TITLE}){_REST}(?:\.?,?[ \u00A0]{_CAPITAL}{_REST}){{1,2}}"
 
 
 def mentions(records: DataFrame) -> DataFrame:
@@ -351,7 +388,7 @@ def mentions(records: DataFrame) -> DataFrame:
     return records.filter("comments IS NOT NULL AND school_id IS NOT NULL").select("record_id", "school_id", F.explode(both).alias("said"))
 
 
-def staff_similarity(said: list[str], title: str, name: list[str], real: frozenset[str]) -> float:
+def staff_similarity(said: list[str], title: str, name: list[str], real: frozenset[str], met: dict[tuple[str, str], float]) -> float:
     """How well a folded mention names a member of staff.
 
     With a title, the title must be theirs and the surname alone may follow;
@@ -360,8 +397,14 @@ def staff_similarity(said: list[str], title: str, name: list[str], real: frozens
     if len(name) < 2:
         return 0.0
     first, last = name[0], name[-1]
-    strong = lambda x, y: token_similarity(x, y, real) if min(len(x), len(y)) > 2 else 0.0
-    given = lambda x: token_similarity(x, first, real)
+
+    def alike(x: str, y: str) -> float:
+        if (x, y) not in met:
+            met[x, y] = token_similarity(x, y, real)
+        return met[x, y]
+
+    strong = lambda x, y: alike(x, y) if min(len(x), len(y)) > 2 else 0.0
+    given = lambda x: alike(x, first)
     if said and said[0] in ("mr", "mrs", "ms", "miss", "dr"):
         if said[0] != title or len(said) < 2:
             return 0.0
@@ -373,10 +416,10 @@ def staff_similarity(said: list[str], title: str, name: list[str], real: frozens
         return max(alone, both)
     if len(said) < 2:
         return 0.0
-    return max(min(given(x), strong(y, last)) for x, y in ((said[0], said[1]), (said[1], said[0])))
+    return max(min(given(x), strong(y, last)) for i in range(len(said) - 1) for x, y in ((said[i], said[i + 1]), (said[i + 1], said[i])))
 
 
-def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str] | None = None) -> DataFrame:
+def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> DataFrame:
     """(record_id, staff_id): comments that name a member of staff of the record's own school.
 
     Distinct mentions of a school meet its staff on the q-grams and initials
@@ -384,10 +427,8 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str] | Non
     """
     from cloakframe.sources.tables import settle
 
-    if real is None:
-        real = real_tokens(folded(records.filter("pupil_name IS NOT NULL").select("pupil_name"), "pupil_name"))
-    said = settle(mentions(records).distinct(), "mentions")
-    distinct = folded(said.select("school_id", "said").distinct(), "said").withColumn("tokens", F.filter("tokens", lambda t: t != ""))
+    said = settle(mentions(records), "mentions")
+    distinct = settle(folded(said.select("school_id", "said").distinct(), "said"), "said")
     people = folded(staff.filter("school_id IS NOT NULL AND staff_name IS NOT NULL"), "staff_name").select(
         "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.col("tokens").alias("name")
     )
@@ -395,18 +436,21 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str] | Non
 
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
+        seen: dict[str, list] = {}
+
         def own(tokens) -> list[str]:
             out: set[str] = set()
             for t in tokens:
                 if t not in ("mr", "mrs", "ms", "miss", "dr") and len(t) > 1:
-                    out.update(g for g in features([t], weights) if g in weights)
+                    out.update(g for g in features([t], weights, seen) if g in weights)
             return sorted(out)
 
         return s.map(own)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([staff_similarity(list(x), y or "", list(z), real) for x, y, z in zip(a, t, n, strict=True)], dtype="float64")
+        met: dict[tuple[str, str], float] = {}
+        return pd.Series([staff_similarity(list(x), y or "", list(z), real, met) for x, y, z in zip(a, t, n, strict=True)], dtype="float64")
 
     left = distinct.select("school_id", "said", "tokens", F.explode(cut("tokens")).alias("g"))
     right = people.select("school_id", "staff_id", "title", "name", F.explode(cut("name")).alias("g"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm import canon, lookalike, names, pii
 from cloakframe.llm.sql import SQL  # noqa: F401
-from cloakframe.sources.tables import settle, table
+from cloakframe.sources.tables import table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,17 +49,16 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "pupil_records")
-    rows = settle(names.spellings(records), "names")
-    real = names.real_tokens(rows)
-    pupils = names.same_pupils(rows, real).select(F.lit("pupil_name").alias("field_name"), "left_id", "right_id")
-    staff = names.staff_named(records, table(spark, d, "staff"), real)
+    spelled = names.Spellings(records)
+    pupils = names.same_pupils(spelled).select(F.lit("pupil_name").alias("field_name"), "left_id", "right_id")
+    staff = names.staff_named(records, table(spark, d, "staff"), spelled.real)
     return pupils.unionByName(staff.select(F.lit("comments").alias("field_name"), F.col("record_id").alias("left_id"), F.col("staff_id").alias("right_id")))
 
 
 def p3_people(spark: SparkSession, d: str) -> DataFrame:
     """Every spelling of a class that is linked to another, with the person meant."""
-    rows = settle(names.spellings(table(spark, d, "pupil_records")), "names")
-    return names.linked_spellings(rows).select("class_id", F.col("key").alias("spelling"), "person")
+    spelled = names.Spellings(table(spark, d, "pupil_records"))
+    return spelled.keys.select("id", "class_id", F.col("key").alias("spelling")).join(names.linked_spellings(spelled), "id").drop("id")
 
 
 QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_people": p3_people, "p4_found": p4_found, "p4_rewritten": p4_rewritten, "p5_found": p5_found, "p5_report": p5_report}
