@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import canon, lookalike, names, pii
+from cloakframe.llm import canon, lookalike, names, pii, subjects
 from cloakframe.llm.sql import SQL  # noqa: F401
 from cloakframe.sources.tables import table
 
@@ -61,4 +61,25 @@ def p3_people(spark: SparkSession, d: str) -> DataFrame:
     return spelled.keys.select("id", "class_id", F.col("key").alias("spelling")).join(names.linked_spellings(spelled), "id").drop("id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_people": p3_people, "p4_found": p4_found, "p4_rewritten": p4_rewritten, "p5_found": p5_found, "p5_report": p5_report}
+def _subjects(spark: SparkSession, d: str) -> subjects.Subjects:
+    return subjects.Subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).found()
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject; documents without one count under ``none``."""
+    docs = table(spark, d, "documents").select("doc_id").distinct()
+    return docs.join(p8_found(spark, d), "doc_id", "left").groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count("*").alias("docs"))
+
+
+def p8_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).leaf_labels()
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_people": p3_people, "p4_found": p4_found, "p4_rewritten": p4_rewritten,
+    "p5_found": p5_found, "p5_report": p5_report, "p8_found": p8_found, "p8_counts": p8_counts, "p8_leaves": p8_leaves,
+}
