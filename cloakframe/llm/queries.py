@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import canon, lookalike, names, pii, subjects
+from cloakframe.llm import canon, lookalike, mixing, names, packing, pii, subjects
 from cloakframe.llm.sql import SQL  # noqa: F401
-from cloakframe.sources.tables import table
+from cloakframe.llm.tokens import token_counts
+from cloakframe.sources.tables import settle, table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +62,33 @@ def p3_people(spark: SparkSession, d: str) -> DataFrame:
     return spelled.keys.select("id", "class_id", F.col("key").alias("spelling")).join(names.linked_spellings(spelled), "id").drop("id")
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the number of tokens of their whole text."""
+    return settle(token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text"), "sizes")
+
+
+def p6_containers_512(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d).select("doc_id", "n_tokens"), "doc_id", 512)
+
+
+def p6_containers_2048(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d).select("doc_id", "n_tokens"), "doc_id", 2048)
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(spark, d).select("doc_id", "n_tokens")
+    return packing.usage(packing.pack(sizes, "doc_id", 512), 512).unionByName(packing.usage(packing.pack(sizes, "doc_id", 2048), 2048))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, wanted = _sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares_reached(sizes, wanted, mixing.mix(sizes, wanted))
+
+
 def _subjects(spark: SparkSession, d: str) -> subjects.Subjects:
     return subjects.Subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
@@ -81,5 +109,6 @@ def p8_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_people": p3_people, "p4_found": p4_found, "p4_rewritten": p4_rewritten,
-    "p5_found": p5_found, "p5_report": p5_report, "p8_found": p8_found, "p8_counts": p8_counts, "p8_leaves": p8_leaves,
+    "p5_found": p5_found, "p5_report": p5_report, "p6_containers_512": p6_containers_512, "p6_containers_2048": p6_containers_2048, "p6_usage": p6_usage,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_counts": p8_counts, "p8_leaves": p8_leaves,
 }
