@@ -30,7 +30,7 @@ from cloakframe.llm import lookalike
 
 Q = 3
 #: Least share of q-gram weight that two spellings of one name have in common.
-OVERLAP = 0.3
+OVERLAP = 0.45
 #: Least soft similarity of two spellings.
 SIMILAR = 0.7
 #: A token that makes up this share of all tokens is a name of its own, not a slip of another; so there are at most 1 / REAL of them.
@@ -82,12 +82,12 @@ def fold(name: str) -> str:
     return " ".join(re.findall(r"[^\W\d_]+", re.sub(r"['’`´\-]", "", "".join(plain))))
 
 
-#: ASCII, and the letters that fold to one letter: such names are folded inside the JVM.
-PLAIN_NAME = r"^[\x00-\x7F" + "".join(_ACCENTED) + "".join(sorted({c.upper() for c in _ACCENTED if len(c.upper()) == 1})) + r"’]*+$"
+#: ASCII and accented Latin letters: such names are folded inside the JVM. Letters that fall apart into several are left out.
+PLAIN_NAME = r"^[\x00-\x7F\u00C0-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E’]*+$"
 
 
 def folded(rows: DataFrame, name: str) -> DataFrame:
-    """The rows with ``tokens``, the folding of ``name``; only odd characters need Python."""
+    """The rows with ``folding``, the folded tokens of ``name`` with spaces between; only odd characters need Python."""
     rewrite = lookalike._rewriters({})
 
     @F.pandas_udf("string")
@@ -98,10 +98,19 @@ def folded(rows: DataFrame, name: str) -> DataFrame:
     plain = F.col(name).rlike(PLAIN_NAME)
     n = F.col(name)
     n = F.when(n.contains(","), F.regexp_replace(n, r"^\s*([^,]*[^,\s])\s*,\s*([^\s].*)$", "$2 $1")).otherwise(n)
-    n = F.translate(F.lower(n), "".join(_ACCENTED) + "._'’`´-", "".join(_ACCENTED.values()) + "  ")
-    quick = F.filter(F.split(n, r"[^\p{L}]+"), lambda t: t != "")
-    odd = rows.filter(~plain).withColumn("tokens", F.split(slow(F.col(name)), " "))
-    return rows.filter(plain).withColumn("tokens", quick).unionByName(odd)
+    n = F.lower(n)
+    for c, p in _SPECIAL.items():
+        if len(p) > 1:
+            n = F.replace(n, F.lit(c), F.lit(p))
+    n = F.trim(F.translate(n, "".join(_ACCENTED) + "._'’`´-", "".join(_ACCENTED.values()) + "  "))
+    quick = F.when(n.rlike(r"^\p{L}++ \p{L}++$"), n).otherwise(F.trim(F.regexp_replace(n, r"[^\p{L}]+", " ")))
+    return rows.filter(plain).withColumn("folding", quick).unionByName(rows.filter(~plain).withColumn("folding", slow(F.col(name))))
+
+
+def sorted_pair(folding: Column) -> Column:
+    """A folding of two tokens in order of the alphabet, any other as it is."""
+    a, b = F.substring_index(folding, " ", 1), F.substring_index(folding, " ", -1)
+    return F.when((F.length(a) + F.length(b) + 1 == F.length(folding)) & (a > b), F.concat_ws(" ", b, a)).otherwise(folding)
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -198,7 +207,7 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
     return {g: math.log(1 + total / n) for g, n in counts.items()}
 
 
-def features(tokens: list[str], weights: dict[str, float], cut: dict[str, list]) -> list[str]:
+def features(tokens: list[str], weights: dict[str, float], cut: dict[str, list], overlap: float = OVERLAP) -> list[str]:
     """The rarest q-grams of a name, as many as the overlap needs, each token with each other initial,
     and the full forms of short first names. ``cut`` remembers the q-grams of tokens."""
     owned: list[tuple[float, str]] = []
@@ -211,7 +220,7 @@ def features(tokens: list[str], weights: dict[str, float], cut: dict[str, list])
     left = total = -sum(w for w, _ in owned)
     out = []
     for w, g in owned:
-        if left < OVERLAP * total:
+        if left < overlap * total:
             break
         out.append(g)
         left += w
@@ -227,12 +236,13 @@ def real_tokens(names: DataFrame) -> frozenset[str]:
     return frozenset(r["t"] for r in kept.select("t").collect())
 
 
+TITLES = ("mr", "mrs", "ms", "miss", "dr")
 _BOYS, _GIRLS = ("m", "male", "boy", "man", "lad", "b", "masc", "masculine", "he/him"), ("f", "female", "girl", "woman", "lass", "g", "fem", "feminine", "she/her")
 
 
 def _steady(value: str, classes: tuple[tuple[str, ...], ...]) -> Column:
     """A bit for the class of a value, 0 where it is unknown."""
-    v = F.regexp_replace(F.lower(F.trim(F.col(value))), r"[().]", "")
+    v = F.translate(F.lower(F.trim(F.col(value))), "().", "")
     out = F.lit(0)
     for i, words in enumerate(classes):
         out = F.when(v.isin(*words), 1 << i).otherwise(out)
@@ -257,7 +267,7 @@ class Spellings:
     def __init__(self, table: DataFrame) -> None:
         from cloakframe.sources.tables import settle
 
-        rows = table.filter("class_id IS NOT NULL AND pupil_name IS NOT NULL AND record_id IS NOT NULL")
+        rows = table.select("class_id", "record_id", "term", "pupil_name", "gender", "pp", "eal").filter("class_id IS NOT NULL AND pupil_name IS NOT NULL AND record_id IS NOT NULL")
         terms = sorted(r["term"] for r in rows.filter("term IS NOT NULL").select("term").distinct().collect())
         self.masks = [f"m{i}" for i in range(max(1, math.ceil(len(terms) / BITS)))]
 
@@ -265,16 +275,15 @@ class Spellings:
             known = F.create_map(*(F.lit(x) for i, t in enumerate(part) for x in (t, 1 << i))) if part else None
             return (F.coalesce(known[F.col("term")], F.lit(0)) if part else F.lit(0)).cast("long")
 
-        key = F.when(F.size("tokens") == 2, F.concat_ws(" ", F.array_sort("tokens"))).otherwise(F.concat_ws(" ", "tokens"))
         yes_no = (("yes", "y"), ("no", "n"))
         self.records = settle(
-            folded(rows, "pupil_name").withColumn("key", key).filter("key <> ''").select(
+            folded(rows, "pupil_name").withColumn("key", sorted_pair(F.col("folding"))).select(
                 "class_id", "key", "record_id", F.xxhash64("pupil_name").alias("name"), *(bit(terms[i * BITS : (i + 1) * BITS]).alias(m) for i, m in enumerate(self.masks)),
                 _steady("gender", (_BOYS, _GIRLS, ("x",), ("u",))).alias("sex"), _steady("pp", yes_no).alias("pp"), _steady("eal", yes_no).alias("eal"),
             ), "names",
         )
         self.keys = settle(
-            self.records.groupBy("class_id", "key").agg(
+            self.records.filter("key <> ''").groupBy("class_id", "key").agg(
                 *(F.bit_or(c).alias(c) for c in (*self.masks, "sex", "pp", "eal")), F.count("*").alias("n"), (F.min("name") != F.max("name")).alias("several")
             ).withColumn("id", F.xxhash64("class_id", "key")), "spellings",
         )
@@ -296,10 +305,10 @@ def linked_spellings(names: Spellings) -> DataFrame:
     weights = gram_weights(open_)
     light = min(weights.values(), default=1.0)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def indexed(s: pd.Series) -> pd.Series:
         cut: dict[str, list] = {}
-        return s.map(lambda t: features(t.split(" "), weights, cut))
+        return s.map(lambda t: "\t".join(features(t.split(" "), weights, cut)))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -316,7 +325,7 @@ def linked_spellings(names: Spellings) -> DataFrame:
         return pd.Series([similarity(x.split(" "), y.split(" "), weight, real, met) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     steady = ("sex", "pp", "eal")
-    cut = open_.select("id", *masks, *steady, F.explode(indexed("key")).alias("g"), "class_id").select(F.xxhash64("class_id", "g").alias("h"), "id", *masks, *steady)
+    cut = open_.select("id", *masks, *steady, F.explode(F.split(indexed("key"), "\t")).alias("g"), "class_id").select(F.xxhash64("class_id", "g").alias("h"), "id", *masks, *steady)
     apart = [(F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0) for m in masks]
     # what is known of both must not differ, unless one of them holds both values
     agree = [(F.col(f"a.{x}") == 0) | (F.col(f"b.{x}") == 0) | (F.col(f"a.{x}").bitwiseAND(F.col(f"b.{x}")) != 0) for x in steady]
@@ -373,30 +382,29 @@ def same_pupils(names: Spellings) -> DataFrame:
     return a.join(b, may).select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id")).distinct()
 
 
-TITLE = r"(?i:\b(?:mr|mrs|ms|miss|dr)\b)"
-_WORD = r"[\p{L}\p{M}'’\-\u00AD\u200B-\u200F\u2060\uFEFF]+"
-TITLED = rf"{TITLE}\.?[ \u00A0]+{_WORD}\.?(?:[ \u00A0]{_WORD}\.?)?"
+TITLE = r"(?:[Mm][Rr][Ss]?|[Mm][Ss]|[Mm][Ii][Ss][Ss]|[Dd][Rr])\b"
+_WORD = r"[\p{L}\p{M}'’\-\u00AD\u200B-\u200F\u2060\uFEFF]++"
 _CAPITAL = r"(?:\p{Lu}|(?:bin|de|al|el|le|van|von)-\p{Lu})"
-_REST = _WORD.replace("]+", "]*+")
-UNTITLED = rf"(?={_CAPITAL})(?<![\p{{L}}'’\-.])(?!{TITLE}){_REST}(?:\.?,?[ \u00A0]{_CAPITAL}{_REST}){{1,2}}"
+#: A title and up to two words, or two or three capitalised words.
+MENTION = rf"(?<![\p{{L}}'’\-.])(?:{TITLE}\.?[ \u00A0]++{_WORD}\.?(?:[ \u00A0]{_WORD}\.?)?|(?={_CAPITAL}){_WORD}(?:\.?,?[ \u00A0](?={_CAPITAL})(?!{TITLE}){_WORD}){{1,2}})"
 
 
 def mentions(records: DataFrame) -> DataFrame:
     """(record_id, school_id, said): what in a comment may name a person, with its title and two words."""
-    c = F.col("comments")
-    both = F.concat(F.regexp_extract_all(c, F.lit(TITLED), F.lit(0)), F.regexp_extract_all(c, F.lit(UNTITLED), F.lit(0)))
-    return records.filter("comments IS NOT NULL AND school_id IS NOT NULL").select("record_id", "school_id", F.explode(both).alias("said"))
+    kept = records.filter("comments IS NOT NULL AND school_id IS NOT NULL AND record_id IS NOT NULL")
+    return kept.select("record_id", "school_id", F.explode(F.regexp_extract_all("comments", F.lit(MENTION), F.lit(0))).alias("said"))
 
 
 def staff_similarity(said: list[str], title: str, name: list[str], real: frozenset[str], met: dict[tuple[str, str], float]) -> float:
     """How well a folded mention names a member of staff.
 
-    With a title, the title must be theirs and the surname alone may follow;
-    without one, both names must be there in either order.
+    With their title the surname alone may follow; otherwise both names must be
+    there, in either order.
     """
     if len(name) < 2:
         return 0.0
     first, last = name[0], name[-1]
+    titles = said[:1]
 
     def alike(x: str, y: str) -> float:
         if (x, y) not in met:
@@ -405,15 +413,16 @@ def staff_similarity(said: list[str], title: str, name: list[str], real: frozens
 
     strong = lambda x, y: alike(x, y) if min(len(x), len(y)) > 2 else 0.0
     given = lambda x: alike(x, first)
-    if said and said[0] in ("mr", "mrs", "ms", "miss", "dr"):
-        if said[0] != title or len(said) < 2:
+    if said and said[0] in TITLES:
+        said = said[1:]
+        if not said:
             return 0.0
-        alone = strong(said[1], last) if said[1] != first or len(said) == 2 else 0.0
-        both = strong(said[2], last) * given(said[1]) ** 0.25 if len(said) > 2 and given(said[1]) > 0 else 0.0
+        both = strong(said[1], last) * given(said[0]) ** 0.25 if len(said) > 1 and given(said[0]) > 0 else 0.0
+        if title not in titles:
+            return both if len(said) > 1 and len(said[0]) > 2 else 0.0
+        alone = strong(said[0], last) if said[0] != first or len(said) == 1 else 0.0
         # a known surname after another first name is somebody else's
-        if len(said) > 2 and strong(said[2], last) >= 0.9 and both == 0:
-            return 0.0
-        return max(alone, both)
+        return both if len(said) > 1 and not both and strong(said[1], last) >= 0.9 else max(alone, both)
     if len(said) < 2:
         return 0.0
     return max(min(given(x), strong(y, last)) for i in range(len(said) - 1) for x, y in ((said[i], said[i + 1]), (said[i + 1], said[i])))
@@ -428,9 +437,9 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> D
     from cloakframe.sources.tables import settle
 
     said = settle(mentions(records), "mentions")
-    distinct = settle(folded(said.select("school_id", "said").distinct(), "said"), "said")
+    distinct = settle(folded(said.select("school_id", "said").distinct(), "said").withColumn("tokens", F.split("folding", " ")), "said")
     people = folded(staff.filter("school_id IS NOT NULL AND staff_name IS NOT NULL"), "staff_name").select(
-        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.col("tokens").alias("name")
+        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.split("folding", " ").alias("name")
     )
     weights = gram_weights(people.select(F.col("name").alias("tokens")))
 
@@ -441,8 +450,8 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> D
         def own(tokens) -> list[str]:
             out: set[str] = set()
             for t in tokens:
-                if t not in ("mr", "mrs", "ms", "miss", "dr") and len(t) > 1:
-                    out.update(g for g in features([t], weights, seen) if g in weights)
+                if t not in TITLES and len(t) > 1:
+                    out.update(g for g in features([t], weights, seen, 0.0) if g in weights)
             return sorted(out)
 
         return s.map(own)
@@ -454,8 +463,8 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> D
 
     left = distinct.select("school_id", "said", "tokens", F.explode(cut("tokens")).alias("g"))
     right = people.select("school_id", "staff_id", "title", "name", F.explode(cut("name")).alias("g"))
-    titled = F.col("tokens")[0].isin("mr", "mrs", "ms", "miss", "dr")
-    met = left.join(right, ["school_id", "g"]).filter(~titled | (F.col("tokens")[0] == F.col("title"))).select("school_id", "said", "tokens", "staff_id", "title", "name").distinct()
+    titled = F.col("tokens")[0].isin(*TITLES)
+    met = left.join(right, ["school_id", "g"]).filter(~titled | (F.col("tokens")[0] == F.col("title")) | (F.size("tokens") > 2)).select("school_id", "said", "tokens", "staff_id", "title", "name").distinct()
     best = met.withColumn("score", alike("tokens", "title", "name")).filter(F.col("score") >= SIMILAR).groupBy("school_id", "said").agg(
         F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("staff_id")).alias("order"), F.col("staff_id").alias("staff_id"))).alias("x")
     )
