@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,8 +86,25 @@ def fold(name: str) -> str:
 PLAIN_NAME = r"^[\x00-\x7F\u00C0-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E’]*+$"
 
 
-def folded(rows: DataFrame, name: str) -> DataFrame:
-    """The rows with ``folding``, the folded tokens of ``name`` with spaces between; only odd characters need Python."""
+def quick_folding(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with ``folding``, null where odd characters need Python, and then the name in ``_odd``.
+
+    The steps are columns of their own, so that each is evaluated once.
+    """
+    n = F.col(name)
+    turned = F.when(n.contains(","), F.regexp_replace(n, r"^\s*([^,]*[^,\s])\s*,\s*([^\s].*)$", "$2 $1")).otherwise(n)
+    low = F.lower(turned)
+    for c, p in _SPECIAL.items():
+        if len(p) > 1:
+            low = F.replace(low, F.lit(c), F.lit(p))
+    low = F.trim(F.translate(low, "".join(_ACCENTED) + "._'’`´-", "".join(_ACCENTED.values()) + "  "))
+    steps = rows.withColumn("_plain", n.rlike(PLAIN_NAME)).withColumn("_low", F.when(F.col("_plain"), low))
+    folding = F.when(F.col("_low").rlike(r"^\p{L}++ \p{L}++$"), F.col("_low")).otherwise(F.trim(F.regexp_replace("_low", r"[^\p{L}]+", " ")))
+    return steps.withColumns({"folding": folding, "_odd": F.when(~F.col("_plain"), n)}).drop("_plain", "_low")
+
+
+def slow_folding(name: str) -> Column:
+    """The folding of any name, in Arrow batches."""
     rewrite = lookalike._rewriters({})
 
     @F.pandas_udf("string")
@@ -95,16 +112,21 @@ def folded(rows: DataFrame, name: str) -> DataFrame:
         form = rewrite()
         return s.map(lambda x: fold(form(x)), na_action="ignore")
 
-    plain = F.col(name).rlike(PLAIN_NAME)
-    n = F.col(name)
-    n = F.when(n.contains(","), F.regexp_replace(n, r"^\s*([^,]*[^,\s])\s*,\s*([^\s].*)$", "$2 $1")).otherwise(n)
-    n = F.lower(n)
-    for c, p in _SPECIAL.items():
-        if len(p) > 1:
-            n = F.replace(n, F.lit(c), F.lit(p))
-    n = F.trim(F.translate(n, "".join(_ACCENTED) + "._'’`´-", "".join(_ACCENTED.values()) + "  "))
-    quick = F.when(n.rlike(r"^\p{L}++ \p{L}++$"), n).otherwise(F.trim(F.regexp_replace(n, r"[^\p{L}]+", " ")))
-    return rows.filter(plain).withColumn("folding", quick).unionByName(rows.filter(~plain).withColumn("folding", slow(F.col(name))))
+    return slow(F.col(name))
+
+
+def folded(rows: DataFrame, name: str, settled: str, keep: bool = True, form: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """The rows with ``folding``, the folded tokens of ``name`` with spaces between and put into a form, and ``name`` itself if it is to be kept.
+
+    One pass folds what the JVM can and is written once; only the names left
+    over, those with odd characters, are then sent to Python.
+    """
+    from cloakframe.sources.tables import settle
+
+    quick = quick_folding(rows, name).withColumn("folding", form(F.col("folding")))
+    once = settle(quick if keep else quick.drop(name), settled)
+    odd = settle(once.filter("_odd IS NOT NULL").withColumn("folding", slow_folding("_odd")).withColumn("folding", form(F.col("folding"))), f"{settled}-odd")
+    return once.filter("_odd IS NULL AND folding IS NOT NULL").unionByName(odd).drop("_odd")
 
 
 def sorted_pair(folding: Column) -> Column:
@@ -189,6 +211,8 @@ def similarity(a: list[str], b: list[str], weight: Callable[[str], float], real:
             continue
         ws = [max(weight(x), weight(y)) for x, y in zip(a, order, strict=True)]
         best = max(best, sum(s * w for s, w in zip(sims, ws, strict=True)) / sum(ws))
+        if best > 0.9:
+            break
     return best
 
 
@@ -207,25 +231,41 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
     return {g: math.log(1 + total / n) for g, n in counts.items()}
 
 
-def features(tokens: list[str], weights: dict[str, float], cut: dict[str, list], overlap: float = OVERLAP) -> list[str]:
-    """The rarest q-grams of a name, as many as the overlap needs, each token with each other initial,
-    and the full forms of short first names. ``cut`` remembers the q-grams of tokens."""
-    owned: list[tuple[float, str]] = []
-    for t in tokens:
-        if t not in cut:
-            rare = max(weights.values(), default=1.0)
-            cut[t] = [(-weights.get(g, rare), g) for g in grams(t)]
-        owned += cut[t]
-    owned = sorted(set(owned))
-    left = total = -sum(w for w, _ in owned)
-    out = []
-    for w, g in owned:
-        if left < overlap * total:
-            break
-        out.append(g)
-        left += w
-    out += {f"={f}" for t in tokens for f in (t, *_FULL.get(t, ())) if f in SHORT_FORMS}
-    return out + [f"{x}|{y[0]}" for i, x in enumerate(tokens) for j, y in enumerate(tokens) if i != j and len(x) > 1]
+class Index:
+    """The features under which names meet; it remembers what it has cut."""
+
+    def __init__(self, weights: dict[str, float], overlap: float = OVERLAP) -> None:
+        self.weights, self.overlap, self.rare = weights, overlap, max(weights.values(), default=1.0)
+        self.cut: dict[str, tuple[list[tuple[float, str]], list[str]]] = {}
+
+    def of(self, token: str) -> tuple[list[tuple[float, str]], list[str]]:
+        """A token's q-grams, rarest first, and the full forms it may stand for."""
+        known = self.cut.get(token)
+        if known is None:
+            full = [f"={f}" for f in (token, *_FULL.get(token, ())) if f in SHORT_FORMS]
+            known = self.cut[token] = (sorted((-self.weights.get(g, self.rare), g) for g in grams(token)), full)
+        return known
+
+    def __call__(self, tokens: list[str]) -> list[str]:
+        """The rarest q-grams of a name, as many as the overlap needs, each token with each other initial,
+        and the full forms of short first names."""
+        owned: list[tuple[float, str]] = []
+        out: list[str] = []
+        for i, t in enumerate(tokens):
+            own, full = self.of(t)
+            owned += own
+            out += full
+            if len(t) > 1:
+                out += [f"{t}|{y[0]}" for j, y in enumerate(tokens) if i != j]
+        owned.sort()
+        left = -sum([w for w, _ in owned])
+        least = self.overlap * left
+        for w, g in owned:
+            if left < least:
+                break
+            out.append(g)
+            left += w
+        return out
 
 
 def real_tokens(names: DataFrame) -> frozenset[str]:
@@ -242,11 +282,8 @@ _BOYS, _GIRLS = ("m", "male", "boy", "man", "lad", "b", "masc", "masculine", "he
 
 def _steady(value: str, classes: tuple[tuple[str, ...], ...]) -> Column:
     """A bit for the class of a value, 0 where it is unknown."""
-    v = F.translate(F.lower(F.trim(F.col(value))), "().", "")
-    out = F.lit(0)
-    for i, words in enumerate(classes):
-        out = F.when(v.isin(*words), 1 << i).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for i, words in enumerate(classes) for w in words for x in (w, 1 << i)))
+    return F.coalesce(known[F.translate(F.lower(F.trim(F.col(value))), "().", "")], F.lit(0))
 
 
 #: Terms that one mask holds.
@@ -276,12 +313,12 @@ class Spellings:
             return (F.coalesce(known[F.col("term")], F.lit(0)) if part else F.lit(0)).cast("long")
 
         yes_no = (("yes", "y"), ("no", "n"))
-        self.records = settle(
-            folded(rows, "pupil_name").withColumn("key", sorted_pair(F.col("folding"))).select(
-                "class_id", "key", "record_id", F.xxhash64("pupil_name").alias("name"), *(bit(terms[i * BITS : (i + 1) * BITS]).alias(m) for i, m in enumerate(self.masks)),
+        self.records = folded(
+            rows.select(
+                "class_id", "record_id", "pupil_name", F.xxhash64("pupil_name").alias("name"), *(bit(terms[i * BITS : (i + 1) * BITS]).alias(m) for i, m in enumerate(self.masks)),
                 _steady("gender", (_BOYS, _GIRLS, ("x",), ("u",))).alias("sex"), _steady("pp", yes_no).alias("pp"), _steady("eal", yes_no).alias("eal"),
-            ), "names",
-        )
+            ), "pupil_name", "names", keep=False, form=sorted_pair,
+        ).withColumnRenamed("folding", "key")
         self.keys = settle(
             self.records.filter("key <> ''").groupBy("class_id", "key").agg(
                 *(F.bit_or(c).alias(c) for c in (*self.masks, "sex", "pp", "eal")), F.count("*").alias("n"), (F.min("name") != F.max("name")).alias("several")
@@ -306,12 +343,13 @@ def linked_spellings(names: Spellings) -> DataFrame:
     light = min(weights.values(), default=1.0)
 
     @F.pandas_udf("string")
-    def indexed(s: pd.Series) -> pd.Series:
-        cut: dict[str, list] = {}
-        return s.map(lambda t: "\t".join(features(t.split(" "), weights, cut)))
+    def indexed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(weights)
+        for s in batches:
+            yield pd.Series(["\t".join(index(t.split(" "))) for t in s], dtype="object")
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
         met: dict[tuple[str, str], float] = {}
 
@@ -322,7 +360,8 @@ def linked_spellings(names: Spellings) -> DataFrame:
                 known[token] = max(weights.get(g, light) for g in grams(token))
             return known[token]
 
-        return pd.Series([similarity(x.split(" "), y.split(" "), weight, real, met) for x, y in zip(a, b, strict=True)], dtype="float64")
+        for a, b in batches:
+            yield pd.Series([similarity(x.split(" "), y.split(" "), weight, real, met) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     steady = ("sex", "pp", "eal")
     cut = open_.select("id", *masks, *steady, F.explode(F.split(indexed("key"), "\t")).alias("g"), "class_id").select(F.xxhash64("class_id", "g").alias("h"), "id", *masks, *steady)
@@ -437,21 +476,21 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> D
     from cloakframe.sources.tables import settle
 
     said = settle(mentions(records), "mentions")
-    distinct = settle(folded(said.select("school_id", "said").distinct(), "said").withColumn("tokens", F.split("folding", " ")), "said")
-    people = folded(staff.filter("school_id IS NOT NULL AND staff_name IS NOT NULL"), "staff_name").select(
-        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.split("folding", " ").alias("name")
+    distinct = folded(said.select("school_id", "said").distinct(), "said", "said").withColumnRenamed("folding", "tokens")
+    people = folded(staff.select("school_id", "staff_id", "title", "staff_name").filter("school_id IS NOT NULL AND staff_name IS NOT NULL"), "staff_name", "staff").select(
+        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.col("folding").alias("name")
     )
-    weights = gram_weights(people.select(F.col("name").alias("tokens")))
+    weights = gram_weights(people.select(F.split("name", " ").alias("tokens")))
 
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
-        seen: dict[str, list] = {}
+        index = Index(weights, 0.0)
 
-        def own(tokens) -> list[str]:
+        def own(folding: str) -> list[str]:
             out: set[str] = set()
-            for t in tokens:
+            for t in folding.split(" "):
                 if t not in TITLES and len(t) > 1:
-                    out.update(g for g in features([t], weights, seen, 0.0) if g in weights)
+                    out.update(g for g in index([t]) if g in weights)
             return sorted(out)
 
         return s.map(own)
@@ -459,12 +498,15 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> D
     @F.pandas_udf("double")
     def alike(a: pd.Series, t: pd.Series, n: pd.Series) -> pd.Series:
         met: dict[tuple[str, str], float] = {}
-        return pd.Series([staff_similarity(list(x), y or "", list(z), real, met) for x, y, z in zip(a, t, n, strict=True)], dtype="float64")
-
-    left = distinct.select("school_id", "said", "tokens", F.explode(cut("tokens")).alias("g"))
-    right = people.select("school_id", "staff_id", "title", "name", F.explode(cut("name")).alias("g"))
-    titled = F.col("tokens")[0].isin(*TITLES)
-    met = left.join(right, ["school_id", "g"]).filter(~titled | (F.col("tokens")[0] == F.col("title")) | (F.size("tokens") > 2)).select("school_id", "said", "tokens", "staff_id", "title", "name").distinct()
+        return pd.Series([staff_similarity(x.split(" "), y or "", z.split(" "), real, met) for x, y, z in zip(a, t, n, strict=True)], dtype="float64")
+
+    # a title and one word meet the staff of that title alone; everything else meets all
+    title = F.substring_index("tokens", " ", 1)
+    bare = F.when(title.isin(*TITLES) & (F.length("tokens") - F.length(F.translate("tokens", " ", "")) == 1), title).otherwise("")
+    left = distinct.select("school_id", "said", "tokens", bare.alias("for"), F.explode(cut("tokens")).alias("g"))
+    right = people.select("school_id", "staff_id", "title", "name", F.explode(F.array(F.lit(""), "title")).alias("for"))
+    right = right.select("school_id", "staff_id", "title", "name", "for", F.explode(cut("name")).alias("g"))
+    met = left.join(right, ["school_id", "for", "g"]).select("school_id", "said", "tokens", "staff_id", "title", "name").distinct()
     best = met.withColumn("score", alike("tokens", "title", "name")).filter(F.col("score") >= SIMILAR).groupBy("school_id", "said").agg(
         F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("staff_id")).alias("order"), F.col("staff_id").alias("staff_id"))).alias("x")
     )
