@@ -205,7 +205,10 @@ def similarity(a: list[str], b: list[str], weight: Callable[[str], float], real:
         if len(a) == 3:  # a double-barrelled surname written apart, or joined
             best = max(similarity([a[0], a[1] + a[2]], b, weight, real, met), similarity([a[0] + a[1], a[2]], b, weight, real, met))
         a = [a[0], *a[len(a) - len(b) + 1 :]]
-    for order in ([*b], b[::-1]) if len(b) == 2 else ([*b],):
+    orders = [b]
+    if len(b) == 2 and a[0] != b[0] and a[1] != b[1]:  # with an equal token in place, only that order can fit
+        orders = [b[::-1]] if a[0] == b[1] or a[1] == b[0] else [b, b[::-1]]
+    for order in orders:
         sims = [alike(x, y) for x, y in zip(a, order, strict=True)]
         if min(sims) <= 0 or max(s if min(len(x), len(y)) > 2 else 0 for s, x, y in zip(sims, a, order, strict=True)) < 0.75:
             continue
@@ -425,7 +428,7 @@ TITLE = r"(?:[Mm][Rr][Ss]?|[Mm][Ss]|[Mm][Ii][Ss][Ss]|[Dd][Rr])\b"
 _WORD = r"[\p{L}\p{M}'’\-\u00AD\u200B-\u200F\u2060\uFEFF]++"
 _CAPITAL = r"(?:\p{Lu}|(?:bin|de|al|el|le|van|von)-\p{Lu})"
 #: A title and up to two words, or two or three capitalised words.
-MENTION = rf"(?<![\p{{L}}'’\-.])(?:{TITLE}\.?[ \u00A0]++{_WORD}\.?(?:[ \u00A0]{_WORD}\.?)?|(?={_CAPITAL}){_WORD}(?:\.?,?[ \u00A0](?={_CAPITAL})(?!{TITLE}){_WORD}){{1,2}})"
+MENTION = rf"\b(?:{TITLE}\.?[ \u00A0]++{_WORD}\.?(?:[ \u00A0]{_WORD}\.?)?|(?={_CAPITAL}){_WORD}(?:\.?,?[ \u00A0](?={_CAPITAL})(?!{TITLE}){_WORD}){{1,2}})"
 
 
 def mentions(records: DataFrame) -> DataFrame:
