@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,10 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", "") or ""
     if given:
         return given
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(shared_folder, "own", None):
         shared_folder.own = tempfile.mkdtemp(prefix="cloakframe-")
+        atexit.register(shutil.rmtree, shared_folder.own, ignore_errors=True)
     return shared_folder.own
 
 
@@ -29,4 +33,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what settle() wrote in this process, once no table that came of it is needed; returns how many tables."""
+    jvm = spark.sparkContext._jvm
+    done = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
