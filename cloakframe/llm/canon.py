@@ -70,8 +70,11 @@ def deletions(token: Column) -> Column:
 def similar_tokens(left: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(field, token, entry_token, sim) of the tokens that are one another after few edits.
 
-    A swap of neighbouring letters counts as one edit.
+    A swap of neighbouring letters counts as one edit. A token more than two
+    letters longer than any of the vocabulary cannot match and is not varied.
     """
+    longest = vocabulary.agg(F.max(F.length("token"))).first()[0] or 0
+    left = left.filter(F.length("token") <= longest + 2)
     a = left.select("field", "token", F.explode(deletions(F.col("token"))).alias("part"))
     b = vocabulary.select("field", F.col("token").alias("entry_token"), F.explode(deletions(F.col("token"))).alias("part"))
     pairs = a.join(b, ["field", "part"]).select("field", "token", "entry_token").distinct()

@@ -34,7 +34,7 @@ PHONETIC = {"ɡ": "g", "ɑ": "a"}
 #: Invisible characters that are not in the category of format characters.
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0" + "".join(map(chr, range(0xFE00, 0xFE10)))
 #: Rows without any character outside this class hold nothing to rewrite (checked inside the JVM).
-PLAIN_ONLY = r"^[\x00-\x7F\u00A1-\u00AC\u00AE-\u017F\u2010-\u2027\u2030-\u205E\u2070-\u218F]*+$"
+PLAIN_ONLY = r"^[\x00-\x7F\u00A1-\u00AC\u00AE-\u0131\u0134-\u0148\u014A-\u017F\u2010-\u2027\u2030-\u205E\u2070-\u218F]*+$"
 #: Code points above this are looked up when met, not listed beforehand.
 LISTED = 0x10000
 
@@ -82,7 +82,7 @@ def stands_for(c: str) -> str | None:
     tag, _, code = unicodedata.decomposition(c).partition("> ")
     if tag in ("<wide", "<narrow"):
         return chr(int(code, 16))
-    if tag == "<compat":
+    if tag == "<compat" and unicodedata.category(c)[0] == "L":
         parts = "".join(chr(int(x, 16)) for x in code.split())
         if len(parts) > 1 and parts.isalpha():
             return unicodedata.normalize("NFC", parts)
