@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.sources.tables import settle
+
 UNMATCHED = "UNMATCHED"
 THRESHOLD = 0.7
 #: Letters from which a token may take two edits.
@@ -100,30 +102,34 @@ def reference_entries(canon: DataFrame, aliases: dict[str, dict[str, tuple[str,
 
 
 def map_values(values: DataFrame, canon: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]] = ALIASES) -> DataFrame:
-    """(field, value, code, score) of each distinct (field, value)."""
-    entries = reference_entries(canon, aliases)
+    """(field, value, code, score) of each distinct (field, value).
+
+    The steps are written as they are made: they are small, each is read
+    several times, and the plans stay short.
+    """
+    entries = settle(reference_entries(canon, aliases), "entries")
     parts = entries.select("field", "entry", "code", F.explode(tokens(F.col("entry"))).alias("entry_token"))
-    total = entries.groupBy("field").agg(F.count("*").alias("total"))
-    idf = parts.groupBy("field", "entry_token").agg(F.countDistinct("entry").alias("df")).join(total, "field").withColumn(
-        "idf", F.log(1 + F.col("total") / F.col("df"))
+    total = settle(entries.groupBy("field").agg(F.count("*").alias("total")), "totals")
+    idf = settle(
+        parts.groupBy("field", "entry_token").agg(F.countDistinct("entry").alias("df")).join(total, "field").select("field", "entry_token", F.log(1 + F.col("total") / F.col("df")).alias("idf")), "idf"
     )
-    parts = parts.join(idf.select("field", "entry_token", "idf"), ["field", "entry_token"])
+    parts = parts.join(idf, ["field", "entry_token"])
     norm = parts.groupBy("field", "entry").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    parts = parts.join(norm, ["field", "entry"])
+    parts = settle(parts.join(norm, ["field", "entry"]), "parts")
 
-    base = values.select("field", "value").distinct()
+    base = settle(values.select("field", "value").distinct(), "values")
     said = base.select("field", "value", F.explode(tokens(F.col("value"))).alias("token"))
-    sims = similar_tokens(said.select("field", "token").distinct(), idf.select("field", F.col("entry_token").alias("token")))
+    sims = settle(similar_tokens(said.select("field", "token").distinct(), idf.select("field", F.col("entry_token").alias("token"))), "similar")
     # the value's own length: a token of unknown meaning weighs as much as the rarest known one
-    best = sims.join(idf.select("field", "entry_token", "idf"), ["field", "entry_token"]).groupBy("field", "token").agg(F.max_by("idf", "sim").alias("w"))
-    weighed = said.join(best, ["field", "token"], "left").join(total, "field").withColumn("w", F.coalesce("w", F.log(1 + F.col("total"))))
+    best = sims.join(idf, ["field", "entry_token"]).groupBy("field", "token").agg(F.max_by("idf", "sim").alias("w"))
+    weighed = settle(said.join(best, ["field", "token"], "left").join(total, "field").select("field", "value", "token", F.coalesce("w", F.log(1 + F.col("total"))).alias("w")), "weighed")
     length = weighed.groupBy("field", "value").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    soft = (
+    soft = settle(
         weighed.join(sims, ["field", "token"]).join(parts, ["field", "entry_token"])
         .groupBy("field", "value", "entry", "code", "norm", "entry_token").agg(F.max(F.col("sim") * F.col("w") * F.col("idf")).alias("dot"))
         .groupBy("field", "value", "entry", "code", "norm").agg(F.sum("dot").alias("dot"))
         .join(length, ["field", "value"])
-        .select("field", "value", "code", "entry", F.least(F.col("dot") / (F.col("norm") * F.col("length")), F.lit(1.0)).alias("score"))
+        .select("field", "value", "code", "entry", F.least(F.col("dot") / (F.col("norm") * F.col("length")), F.lit(1.0)).alias("score")), "soft",
     )
     wholes = base.select("field", "value", joined(F.col("value")).alias("token")).filter("token <> ''")
     ends = entries.select("field", "entry", "code", joined(F.col("entry")).alias("entry_token"))
