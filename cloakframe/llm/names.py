@@ -3,8 +3,9 @@
 Names are folded to Latin tokens; equal foldings need no comparison. The rest
 meet in a set-similarity join on the q-grams of their tokens: of each name only
 a prefix of its rarest q-grams is indexed, just long enough that two names with
-the wanted overlap must share one, together with one feature for each token and
-the first letter of another, through which initials are found. Pairs that meet
+the wanted overlap must share one, together with one feature for each token (or the
+full form of a short one) and the first letter of another, through which initials
+are found. Pairs that meet
 are verified by soft weighted token similarity, in which tokens of rare q-grams
 count more. Full spellings that are similar, and each one with initials with its
 best partner, are edges; what hangs together is one person.
@@ -83,7 +84,7 @@ def fold(name: str) -> str:
 
 
 #: ASCII and accented Latin letters: such names are folded inside the JVM. Letters that fall apart into several are left out.
-PLAIN_NAME = r"^[\x00-\x7F\u00C0-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E’]*+$"
+PLAIN_NAME = r"^[\x00-\x7F\u00C0-\u00C5\u00C7-\u00DD\u00E0-\u00E5\u00E7-\u00FD\u00FF-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u0151\u0154-\u017E’]*+$"
 
 
 def quick_folding(rows: DataFrame, name: str) -> DataFrame:
@@ -94,11 +95,8 @@ def quick_folding(rows: DataFrame, name: str) -> DataFrame:
     n = F.col(name)
     turned = F.when(n.contains(","), F.regexp_replace(n, r"^\s*([^,]*[^,\s])\s*,\s*([^\s].*)$", "$2 $1")).otherwise(n)
     low = F.lower(turned)
-    for c, p in _SPECIAL.items():
-        if len(p) > 1:
-            low = F.replace(low, F.lit(c), F.lit(p))
     low = F.trim(F.translate(low, "".join(_ACCENTED) + "._'’`´-", "".join(_ACCENTED.values()) + "  "))
-    steps = rows.withColumn("_plain", n.rlike(PLAIN_NAME)).withColumn("_low", F.when(F.col("_plain"), low))
+    steps = rows.withColumn("_plain", (F.octet_length(n) == F.length(n)) | n.rlike(PLAIN_NAME)).withColumn("_low", F.when(F.col("_plain"), low))
     folding = F.when(F.col("_low").rlike(r"^\p{L}++ \p{L}++$"), F.col("_low")).otherwise(F.trim(F.regexp_replace("_low", r"[^\p{L}]+", " ")))
     return steps.withColumns({"folding": folding, "_odd": F.when(~F.col("_plain"), n)}).drop("_plain", "_low")
 
@@ -115,17 +113,20 @@ def slow_folding(name: str) -> Column:
     return slow(F.col(name))
 
 
-def folded(rows: DataFrame, name: str, settled: str, keep: bool = True, form: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+def folded(rows: DataFrame, name: str, settled: str, keep: bool = True, form: Callable[[Column], Column] = lambda c: c, id_of: str | None = None) -> DataFrame:
     """The rows with ``folding``, the folded tokens of ``name`` with spaces between and put into a form, and ``name`` itself if it is to be kept.
 
+    With ``id_of``, ``id`` is the hash of that column and the folding.
+
     One pass folds what the JVM can and is written once; only the names left
     over, those with odd characters, are then sent to Python.
     """
     from cloakframe.sources.tables import settle
 
-    quick = quick_folding(rows, name).withColumn("folding", form(F.col("folding")))
+    done = lambda df: df.withColumn("folding", form(F.col("folding"))).withColumns({"id": F.xxhash64(id_of, "folding")} if id_of else {})
+    quick = done(quick_folding(rows, name))
     once = settle(quick if keep else quick.drop(name), settled)
-    odd = settle(once.filter("_odd IS NOT NULL").withColumn("folding", slow_folding("_odd")).withColumn("folding", form(F.col("folding"))), f"{settled}-odd")
+    odd = settle(done(once.filter("_odd IS NOT NULL").withColumn("folding", slow_folding("_odd"))).select(*once.columns), f"{settled}-odd")
     return once.filter("_odd IS NULL AND folding IS NOT NULL").unionByName(odd).drop("_odd")
 
 
@@ -242,24 +243,22 @@ class Index:
         self.cut: dict[str, tuple[list[tuple[float, str]], list[str]]] = {}
 
     def of(self, token: str) -> tuple[list[tuple[float, str]], list[str]]:
-        """A token's q-grams, rarest first, and the full forms it may stand for."""
+        """A token's q-grams, rarest first, and the token with the full forms it may stand for."""
         known = self.cut.get(token)
         if known is None:
-            full = [f"={f}" for f in (token, *_FULL.get(token, ())) if f in SHORT_FORMS]
-            known = self.cut[token] = (sorted((-self.weights.get(g, self.rare), g) for g in grams(token)), full)
+            known = self.cut[token] = (sorted((-self.weights.get(g, self.rare), g) for g in grams(token)), [token, *_FULL.get(token, ())])
         return known
 
     def __call__(self, tokens: list[str]) -> list[str]:
-        """The rarest q-grams of a name, as many as the overlap needs, each token with each other initial,
-        and the full forms of short first names."""
+        """The rarest q-grams of a name, as many as the overlap needs, and each token, or the full form
+        of a short one, with each other initial."""
         owned: list[tuple[float, str]] = []
         out: list[str] = []
         for i, t in enumerate(tokens):
             own, full = self.of(t)
             owned += own
-            out += full
             if len(t) > 1:
-                out += [f"{t}|{y[0]}" for j, y in enumerate(tokens) if i != j]
+                out += [f"{x}|{y[0]}" for j, y in enumerate(tokens) if i != j for x in full]
         owned.sort()
         left = -sum([w for w, _ in owned])
         least = self.overlap * left
@@ -296,8 +295,8 @@ BITS = 62
 class Spellings:
     """The records of a table with their folded names, and each class's distinct spellings.
 
-    ``records``: class_id, key, record_id, name (its hash) and a mask of the
-    term. ``keys``: one row per class and key with what its records have in
+    ``records``: class_id, key, their hash id, record_id, name (its hash) and a
+    mask of the term. ``keys``: one row per class and key with what its records have in
     common. A key is the tokens in order of the alphabet if there are two, in
     typed order otherwise. The list of terms (of a school system, some dozens)
     is read to the driver to give each term its bit; ``masks`` are as many
@@ -320,12 +319,12 @@ class Spellings:
             rows.select(
                 "class_id", "record_id", "pupil_name", F.xxhash64("pupil_name").alias("name"), *(bit(terms[i * BITS : (i + 1) * BITS]).alias(m) for i, m in enumerate(self.masks)),
                 _steady("gender", (_BOYS, _GIRLS, ("x",), ("u",))).alias("sex"), _steady("pp", yes_no).alias("pp"), _steady("eal", yes_no).alias("eal"),
-            ), "pupil_name", "names", keep=False, form=sorted_pair,
+            ), "pupil_name", "names", keep=False, form=sorted_pair, id_of="class_id",
         ).withColumnRenamed("folding", "key")
         self.keys = settle(
-            self.records.filter("key <> ''").groupBy("class_id", "key").agg(
+            self.records.filter("key <> ''").groupBy("class_id", "key", "id").agg(
                 *(F.bit_or(c).alias(c) for c in (*self.masks, "sex", "pp", "eal")), F.count("*").alias("n"), (F.min("name") != F.max("name")).alias("several")
-            ).withColumn("id", F.xxhash64("class_id", "key")), "spellings",
+            ), "spellings",
         )
         self.real = real_tokens(self.keys.groupBy("key").agg(F.sum("n").alias("n")).select(F.split("key", " ").alias("tokens"), "n"))
 
@@ -341,8 +340,8 @@ def linked_spellings(names: Spellings) -> DataFrame:
     real, masks = names.real, names.masks
     whole = names.keys.groupBy("class_id").agg(*(F.bit_or(m).alias(f"all_{m}") for m in masks))
     missing = " OR ".join(f"{m} <> all_{m}" for m in masks)
-    open_ = settle(names.keys.join(whole, "class_id").filter(missing).select("id", "class_id", "key", F.split("key", " ").alias("tokens"), *masks, "sex", "pp", "eal", "n"), "open")
-    weights = gram_weights(open_)
+    open_ = settle(names.keys.join(whole, "class_id").filter(missing).select("id", "class_id", "key", *masks, "sex", "pp", "eal", "n"), "open")
+    weights = gram_weights(open_.select(F.split("key", " ").alias("tokens")))
     light = min(weights.values(), default=1.0)
 
     @F.pandas_udf("string")
@@ -413,10 +412,8 @@ def same_pupils(names: Spellings) -> DataFrame:
     """(left_id, right_id): records of one class that mean one pupil under unequal spellings."""
     who = linked_spellings(names)
     # spellings that are alone and always typed alike have no pair and stay out
-    person = names.keys.select("class_id", "key", "id", "several").join(who, "id", "left").filter("several OR person IS NOT NULL").select(
-        "class_id", "key", F.coalesce("person", "id").alias("person")
-    )
-    some = names.records.join(person, ["class_id", "key"]).select("person", "record_id", "name", *names.masks)
+    person = names.keys.select("id", "several").join(who, "id", "left").filter("several OR person IS NOT NULL").select("id", F.coalesce("person", "id").alias("person"))
+    some = names.records.select("id", "record_id", "name", *names.masks).join(person, "id").select("person", "record_id", "name", *names.masks)
     a, b = some.alias("a"), some.alias("b")
     may = (F.col("a.person") == F.col("b.person")) & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.name") != F.col("b.name"))
     for m in names.masks:
