@@ -134,6 +134,13 @@ class Rewriter:
                     self.by_script[x] = best
         self.step = self._automaton()
 
+    def __getstate__(self) -> dict:
+        return {"always": self.always, "by_script": self.by_script}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.step = self._automaton()
+
     @staticmethod
     def _own(x: str, plain: list[str], best: dict[str, str]) -> str:
         """Of the plain members, the one that the yielding string stands for in its own script."""
@@ -216,28 +223,15 @@ def count_characters(column: DataFrame) -> dict[str, int]:
     return {chr(r["code"]): r["n"] for r in found.collect()}
 
 
-def _rewriters(counts: dict[str, int]):
-    """A function that gives the rewriter, built once for each task that needs it."""
-    built: list[Rewriter] = []
-
-    def get() -> Rewriter:
-        if not built:
-            built.append(Rewriter(counts))
-        return built[0]
-
-    return get
-
-
 def consistent(rows: DataFrame, key: list[str], text: str, counts: dict[str, int]) -> DataFrame:
     """(key, before, after) of the rows whose text is not already in its consistent form.
 
     Rows of plain characters are told apart inside the JVM and never reach Python.
     """
-    get = _rewriters(counts)
+    r = Rewriter(counts)  # the classes are found here; tasks only build the automaton
 
     @F.pandas_udf("string")
     def rewrite(s: pd.Series) -> pd.Series:
-        r = get()
         return s.map(r, na_action="ignore")
 
     odd = rows.select(*key, F.col(text).alias("before")).filter(~F.col("before").rlike(PLAIN_ONLY))
@@ -246,11 +240,10 @@ def consistent(rows: DataFrame, key: list[str], text: str, counts: dict[str, int
 
 def all_consistent(rows: DataFrame, text: str, counts: dict[str, int]) -> DataFrame:
     """The rows with ``text`` in its consistent form."""
-    get = _rewriters(counts)
+    r = Rewriter(counts)  # the classes are found here; tasks only build the automaton
 
     @F.pandas_udf("string")
     def rewrite(s: pd.Series) -> pd.Series:
-        r = get()
         return s.map(r, na_action="ignore")
 
     odd = rows.filter(~F.col(text).rlike(PLAIN_ONLY)).withColumn(text, rewrite(F.col(text)))

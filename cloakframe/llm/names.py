@@ -103,11 +103,10 @@ def quick_folding(rows: DataFrame, name: str) -> DataFrame:
 
 def slow_folding(name: str) -> Column:
     """The folding of any name, in Arrow batches."""
-    rewrite = lookalike._rewriters({})
+    form = lookalike.Rewriter({})
 
     @F.pandas_udf("string")
     def slow(s: pd.Series) -> pd.Series:
-        form = rewrite()
         return s.map(lambda x: fold(form(x)), na_action="ignore")
 
     return slow(F.col(name))
