@@ -39,18 +39,17 @@ def context(text: Column, position: Column, length: Column, around: int = 15) ->
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (value, position) of all matches from left to right, positions from 0, found inside the JVM."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.split(text, pattern, -1).alias("between"))
     none = F.array().cast("array<struct<value:string,position:int>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["at"] + F.length(between[i])
-        item = F.struct(values[i].alias("value"), at.alias("position"))
-        return F.struct((at + F.length(values[i])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["between"])
+        item = F.struct(x["value"].alias("value"), at.alias("position"))
+        # what follows the last match has no value
+        return F.when(x["value"].isNull(), acc).otherwise(F.struct((at + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out")))
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    return F.when(text.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def nfkc(c: Column) -> Column:

@@ -10,23 +10,27 @@ from pyspark.sql import functions as F
 from cloakframe.functions.numeric import bounded_noise, finite, parse_float
 from cloakframe.functions.prng import draw
 from cloakframe.operators.order import numbered
+from cloakframe.sources.tables import settle
 
 
-def draw_numbers(df: DataFrame, column: str, order: list[str], base: int = 0) -> DataFrame:
-    """The rows with ``_x``, the cell's number or null, and ``_draw``, the draw that a finite cell consumes."""
+def drawn(df: DataFrame, column: str, order: list[str], seed: int, base: int = 0) -> DataFrame:
+    """The rows with ``_x``, the cell's number or null, and ``_u``, the draw that a finite cell consumes.
+
+    They are written, so that the long expression of a draw is evaluated once.
+    """
     x = parse_float(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column).cast("double")
     rows = df.withColumn("_x", F.when(finite(x), x))
-    yes = numbered(rows.filter("_x IS NOT NULL"), order, "_draw", base + 1)
-    return yes.unionByName(rows.filter("_x IS NULL").withColumn("_draw", F.lit(None).cast("long")))
+    yes = numbered(rows.filter("_x IS NOT NULL"), order, "_draw", base + 1).withColumn("_u", draw(seed, F.col("_draw"))).drop("_draw")
+    return settle(yes.unionByName(rows.filter("_x IS NULL").withColumn("_u", F.lit(None).cast("double"))), "draws")
 
 
 def noised_column(
     df: DataFrame, column: str, order: list[str], seed: int, base: int = 0, maximum: float = 100.0, share: float = 0.05, boundaries: Sequence[float] | None = None
 ) -> DataFrame:
     """The rows with ``column`` noised (as double, null where it was no number) and ``failed``."""
-    noise = bounded_noise(F.col("_x"), draw(seed, F.col("_draw")), maximum or 100.0, share or 0.05, boundaries)
-    out = draw_numbers(df, column, order, base).withColumn("_noise", F.when(F.col("_x").isNotNull(), noise))
-    return out.withColumn(column, F.col("_noise.value")).withColumn("failed", F.coalesce("_noise.failed", F.lit(False))).drop("_x", "_draw", "_noise")
+    noise = bounded_noise(F.col("_x"), F.col("_u"), maximum or 100.0, share or 0.05, boundaries)
+    out = drawn(df, column, order, seed, base).withColumn("_noise", F.when(F.col("_x").isNotNull(), noise))
+    return out.withColumn(column, F.col("_noise.value")).withColumn("failed", F.coalesce("_noise.failed", F.lit(False))).drop("_x", "_u", "_noise")
 
 
 def noised_table(
@@ -38,14 +42,14 @@ def noised_table(
     """
     failures = []
     for c in columns:
-        rows = draw_numbers(df, c, order, used)
-        used += rows.filter("_draw IS NOT NULL").count()
-        n = bounded_noise(F.col("_x"), draw(seed, F.col("_draw")), maximum or 100.0, share or 0.05, boundaries)
+        rows = drawn(df, c, order, seed, used)
+        used += rows.filter("_u IS NOT NULL").count()
+        n = bounded_noise(F.col("_x"), F.col("_u"), maximum or 100.0, share or 0.05, boundaries)
         rows = rows.withColumn("_noise", F.when(F.col("_x").isNotNull(), n))
         failures.append(rows.agg(F.lit(c).alias("column"), F.coalesce(F.sum(F.when(F.col("_noise.failed"), 1).otherwise(0)), F.lit(0)).cast("long").alias("failures")))
         v = F.col("_noise.value")
         text = F.when(v == F.floor(v), F.floor(v).cast("long").cast("string")).otherwise(v.cast("string"))
-        df = rows.withColumn(c, F.when(v.isNull(), F.col(c)).otherwise(text)).drop("_x", "_draw", "_noise")
+        df = rows.withColumn(c, F.when(v.isNull(), F.col(c)).otherwise(text)).drop("_x", "_u", "_noise")
     total = failures[0] if failures else df.sparkSession.createDataFrame([], "column string, failures long")
     for f in failures[1:]:
         total = total.unionByName(f)

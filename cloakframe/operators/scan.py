@@ -164,11 +164,14 @@ def roster_hits(texts: DataFrame, key: str, text: str, roster: DataFrame, term:
     The parts of a hyphenated word count as words of their own.
     """
     token = r"[\p{L}\p{M}\p{N}_]+"
-    at = texts.select(F.col(key).alias("_key"), F.col(text).alias("_t"), matches(F.col(text), token).alias("w")).filter(F.size("w") > 0)
-    spans = at.select("_key", "_t", "w", F.posexplode("w").alias("i", "first")).select("_key", "_t", "first", F.explode(F.slice("w", F.col("i") + 1, words)).alias("last"))
+    at = texts.select(F.col(key).alias("_key"), F.col(text).alias("_t"), matches(F.col(text), token).alias("w"))
+    known = roster.select(F.lower(F.trim(F.col(term))).alias("_term")).filter("_term <> ''").distinct()
+    # only words that begin a term are continued
+    begin = known.select(F.regexp_extract("_term", token, 0).alias("_begin")).filter("_begin <> ''").distinct()
+    heads = at.select("_key", "_t", "w", F.posexplode("w").alias("i", "first")).join(begin, F.lower("first.value") == F.col("_begin"), "left_semi")
+    spans = heads.select("_key", "_t", "first", F.explode(F.slice("w", F.col("i") + 1, words)).alias("last"))
     start = F.col("first.position")
     grams = spans.select("_key", start.alias("position"), F.substring("_t", start + 1, F.col("last.position") + F.length("last.value") - start).alias("value"))
-    known = roster.select(F.lower(F.trim(F.col(term))).alias("_term")).filter("_term <> ''").distinct()
     hits = grams.join(known, F.lower("value") == F.col("_term")).select("_key", F.struct("position", "value").alias("h"))
     order = lambda a, b: F.when(a["position"] != b["position"], a["position"] - b["position"]).otherwise(F.length(b["value"]) - F.length(a["value"]))
     per = hits.groupBy("_key").agg(F.array_sort(F.collect_set("h"), order).alias("hs"))

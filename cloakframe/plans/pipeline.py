@@ -93,13 +93,14 @@ def anonymise(df: DataFrame, config: Config | None = None) -> Anonymised:
     flags = settle(flags.dropDuplicates([ORDER, "column", "position", "type", "subtype"]), "flags")
 
     if config.redact:
-        df = redacted(df, flags, list(r.free_text))
+        df = settle(redacted(df, flags, list(r.free_text)), "redacted")
     blocked = pseudonym.blocked_tokens(df, r.name, flags, config.staff)
     if config.mode == "exact":
         named, mapping, used = _exact(df, r, blocked, config)
     else:
         full = pseudonym.scale(df, r.name, [ORDER], config.seed, blocked, config.bank)
         mapping, named, used = full.select("ord", "id_token", "fake_name", "real_name"), pseudonym.replaced(full, r.name).withColumnRenamed("ord", "_n"), 2
+    named = settle(named, "named")
     failures = df.sparkSession.createDataFrame([], "column string, failures long")
     if config.noise:
         named, failures, used = noised_table(named, r.numeric, ["_n"], config.seed, used, config.noise_maximum, config.noise_share, config.noise_boundaries)
@@ -109,7 +110,7 @@ def anonymise(df: DataFrame, config: Config | None = None) -> Anonymised:
         placed = named.join(places, "_n")
     else:
         placed = pseudonym.shuffled(named, ["_n"], config.seed, used).withColumn("_place", F.col("position") - 1)
-    out = columns.sanitised(placed.select(*headers, F.col("_place").alias(ORDER)))
+    out = settle(columns.sanitised(placed.select(*headers, F.col("_place").alias(ORDER))), "anonymised")
     banded, grades, attendances = risk.with_bands(out, r.numeric, config.noise_boundaries or risk.GRADE_BOUNDARIES)
     attributes = risk.quasi_identifiers(r.categorical, r.gender, grades, attendances)
     report = risk.analyse(banded, attributes, [*r.categorical, *grades, *attendances], ORDER, config.k)
