@@ -423,14 +423,21 @@ def same_pupils(names: Spellings) -> DataFrame:
 TITLE = r"(?:[Mm][Rr][Ss]?|[Mm][Ss]|[Mm][Ii][Ss][Ss]|[Dd][Rr])\b"
 _WORD = r"[\p{L}\p{M}'’\-\u00AD\u200B-\u200F\u2060\uFEFF]++"
 _CAPITAL = r"(?:\p{Lu}|(?:bin|de|al|el|le|van|von)-\p{Lu})"
-#: A title and up to two words, or two or three capitalised words.
-MENTION = rf"\b(?:{TITLE}\.?[ \u00A0]++{_WORD}\.?(?:[ \u00A0]{_WORD}\.?)?|(?={_CAPITAL}){_WORD}(?:\.?,?[ \u00A0](?={_CAPITAL})(?!{TITLE}){_WORD}){{1,2}})"
+#: Not inside a word; a full stop after an initial.
+_START = r"(?<![\p{L}\p{M}\p{Nd}_])(?<![\p{L}\p{M}]['’\-\u00AD\u200B-\u200F\u2060\uFEFF])"
+_STOP = r"(?:(?<=(?<![\p{L}\p{M}'’\-])\p{L}\p{M}{0,2})\.)?"
+#: A title and up to two words, or two capitalised words of which the first follows no title. Every title and capitalised word begins
+#: one, so that no name is lost to the words before it.
+MENTION = (
+    rf"{_START}(?=({TITLE}\.?[ \u00A0]++{_WORD}(?:{_STOP}[ \u00A0](?!{TITLE}){_WORD})?"
+    rf"|(?={_CAPITAL})(?<!\b{TITLE}\.?[ \u00A0]{{1,4}}){_WORD}{_STOP},?[ \u00A0](?={_CAPITAL})(?!{TITLE}){_WORD}))"
+)
 
 
 def mentions(records: DataFrame) -> DataFrame:
     """(record_id, school_id, said): what in a comment may name a person, with its title and two words."""
     kept = records.filter("comments IS NOT NULL AND school_id IS NOT NULL AND record_id IS NOT NULL")
-    return kept.select("record_id", "school_id", F.explode(F.regexp_extract_all("comments", F.lit(MENTION), F.lit(0))).alias("said"))
+    return kept.select("record_id", "school_id", F.explode(F.regexp_extract_all("comments", F.lit(MENTION), F.lit(1))).alias("said"))
 
 
 def staff_similarity(said: list[str], title: str, name: list[str], real: frozenset[str], met: dict[tuple[str, str], float]) -> float:

@@ -92,3 +92,14 @@ def test_staff(spark):
     rows = records(spark, [(i, 1, "A", "Rose Garlock", "F", s) for i, s in enumerate(said)])
     got = {(r["record_id"], r["staff_id"]) for r in names.staff_named(rows, staff, REAL).collect()}
     assert got == {(0, 100), (1, 101), (2, 101), (3, 100), (5, 103), (9, 101), (10, 100), (12, 100)}
+
+
+def test_staff_after_other_capitalised_words(spark):
+    said = [
+        "Lives at Unit 5, Bellmakers Drive. Zoë Wexby runs the group.", "In Maths Tomas Garlock said", "Mr Smith Mr Garlock met", "Mr Smith Tomas Garlock", "With Mrs T. Garlock", "Saw Wexby. Zoë left",
+        "Mr and Ms Wexby", "Report To Head Zoë Wexby, Tomas Garlock",
+    ]
+    staff = spark.createDataFrame([(100, "S", "Mr", "Tomás Garlock", "t", "x"), (101, "S", "Ms", "Zoë Wexby", "t", "x")], STAFF)
+    rows = records(spark, [(i, 1, "A", "Rose Garlock", "F", s) for i, s in enumerate(said)])
+    got = {(r["record_id"], r["staff_id"]) for r in names.staff_named(rows, staff, REAL).collect()}
+    assert got == {(0, 101), (1, 100), (2, 100), (3, 100), (6, 101), (7, 100), (7, 101)}
