@@ -1,11 +1,9 @@
 """Problem 3: variant spellings of names.
 
-Names are folded to Latin tokens; equal foldings need no comparison. The rest
-meet in a set-similarity join on the q-grams of their tokens: of each name only
-a prefix of its rarest q-grams is indexed, just long enough that two names with
-the wanted overlap must share one, together with one feature for each token (or the
-full form of a short one) and the first letter of another, through which initials
-are found. Pairs that meet
+Names are folded to Latin tokens; equal foldings need no comparison. Of the
+rest, all spellings of one class that may be one pupil are compared, without an
+index that could miss some: a class has some dozens, most pairs of which share a
+term or differ in what is known, so pairs grow with the classes. Pairs
 are verified by soft weighted token similarity, in which tokens of rare q-grams
 count more. Full spellings that are similar, and each one with initials with its
 best partner, are edges; what hangs together is one person.
@@ -30,8 +28,6 @@ from pyspark.sql import functions as F
 from cloakframe.llm import lookalike
 
 Q = 3
-#: Least share of q-gram weight that two spellings of one name have in common.
-OVERLAP = 0.45
 #: Least soft similarity of two spellings.
 SIMILAR = 0.7
 #: A token that makes up this share of all tokens is a name of its own, not a slip of another; so there are at most 1 / REAL of them.
@@ -234,41 +230,6 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
     return {g: math.log(1 + total / n) for g, n in counts.items()}
 
 
-class Index:
-    """The features under which names meet; it remembers what it has cut."""
-
-    def __init__(self, weights: dict[str, float], overlap: float = OVERLAP) -> None:
-        self.weights, self.overlap, self.rare = weights, overlap, max(weights.values(), default=1.0)
-        self.cut: dict[str, tuple[list[tuple[float, str]], list[str]]] = {}
-
-    def of(self, token: str) -> tuple[list[tuple[float, str]], list[str]]:
-        """A token's q-grams, rarest first, and the token with the full forms it may stand for."""
-        known = self.cut.get(token)
-        if known is None:
-            known = self.cut[token] = (sorted((-self.weights.get(g, self.rare), g) for g in grams(token)), [token, *_FULL.get(token, ())])
-        return known
-
-    def __call__(self, tokens: list[str]) -> list[str]:
-        """The rarest q-grams of a name, as many as the overlap needs, and each token, or the full form
-        of a short one, with each other initial."""
-        owned: list[tuple[float, str]] = []
-        out: list[str] = []
-        for i, t in enumerate(tokens):
-            own, full = self.of(t)
-            owned += own
-            if len(t) > 1:
-                out += [f"{x}|{y[0]}" for j, y in enumerate(tokens) if i != j for x in full]
-        owned.sort()
-        left = -sum([w for w, _ in owned])
-        least = self.overlap * left
-        for w, g in owned:
-            if left < least:
-                break
-            out.append(g)
-            left += w
-        return out
-
-
 def real_tokens(names: DataFrame) -> frozenset[str]:
     """Tokens of ``names`` (tokens, n) that are common enough to be names of their own, at most 1 / REAL of them."""
     counted = names.select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
@@ -343,12 +304,6 @@ def linked_spellings(names: Spellings) -> DataFrame:
     weights = gram_weights(open_.select(F.split("key", " ").alias("tokens")))
     light = min(weights.values(), default=1.0)
 
-    @F.pandas_udf("string")
-    def indexed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(weights)
-        for s in batches:
-            yield pd.Series(["\t".join(index(t.split(" "))) for t in s], dtype="object")
-
     @F.pandas_udf("double")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
@@ -365,18 +320,16 @@ def linked_spellings(names: Spellings) -> DataFrame:
             yield pd.Series([similarity(x.split(" "), y.split(" "), weight, real, met) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     steady = ("sex", "pp", "eal")
-    cut = open_.select("id", *masks, *steady, F.explode(F.split(indexed("key"), "\t")).alias("g"), "class_id").select(F.xxhash64("class_id", "g").alias("h"), "id", *masks, *steady)
     apart = [(F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0) for m in masks]
     # what is known of both must not differ, unless one of them holds both values
     agree = [(F.col(f"a.{x}") == 0) | (F.col(f"b.{x}") == 0) | (F.col(f"a.{x}").bitwiseAND(F.col(f"b.{x}")) != 0) for x in steady]
-    may = (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))
+    may = (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.id") < F.col("b.id"))
     for c in (*apart, *agree):
         may = may & c
-    met = cut.alias("a").join(cut.alias("b"), may).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    side = lambda z: open_.select(F.col("id").alias(z), F.col("class_id").alias(f"c{z}"), F.col("key").alias(f"k{z}"), F.col("n").alias(f"n{z}"))
+    met = open_.alias("a").join(open_.alias("b"), may).select(*(F.col(f"{t}.{c}").alias(z) for t, e in (("a", "x"), ("b", "y")) for c, z in (("id", e), ("key", f"k{e}"), ("n", f"n{e}"))))
     full = lambda k: F.least(F.size(F.filter(F.split(k, " "), lambda x: F.length(x) > 1)), F.lit(2))
     scored = settle(
-        met.join(side("x"), "x").join(side("y"), "y").filter("cx = cy").withColumn("score", F.round(alike("kx", "ky"), 6)).filter(F.col("score") >= SIMILAR)
+        met.withColumn("score", F.round(alike("kx", "ky"), 6)).filter(F.col("score") >= SIMILAR)
         .select("x", "y", "score", full("kx").alias("fx"), full("ky").alias("fy"), "nx", "ny", "kx", "ky"), "pairs",
     )
 
@@ -490,13 +443,11 @@ def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> D
 
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
-        index = Index(weights, 0.0)
-
         def own(folding: str) -> list[str]:
             out: set[str] = set()
             for t in folding.split(" "):
                 if t not in TITLES and len(t) > 1:
-                    out.update(g for g in index([t]) if g in weights)
+                    out.update(g for g in grams(t) if g in weights)
             return sorted(out)
 
         return s.map(own)

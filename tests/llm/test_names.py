@@ -103,3 +103,11 @@ def test_staff_after_other_capitalised_words(spark):
     rows = records(spark, [(i, 1, "A", "Rose Garlock", "F", s) for i, s in enumerate(said)])
     got = {(r["record_id"], r["staff_id"]) for r in names.staff_named(rows, staff, REAL).collect()}
     assert got == {(0, 101), (1, 100), (2, 100), (3, 100), (6, 101), (7, 100), (7, 101)}
+
+
+def test_an_initial_and_a_slip_or_two_slips_meet(spark):
+    pairs = [("K Garwick", "Krzys Gsrwick"), ("S Whitby", "Seb Whityb"), ("F Garwick", "Flossie Garwcik"), ("Rosa Whityb", "Rsoa Whitby"), ("Harriet Penley", "Harreit Pnelye")]
+    rows = [(2 * i + k, i, "AB"[k], n, None, None) for i, p in enumerate(pairs) for k, n in enumerate(p)]
+    got = {(r["left_id"], r["right_id"]) for r in names.same_pupils(names.Spellings(records(spark, rows))).collect()}
+    want = {(2 * i, 2 * i + 1) for i, (a, b) in enumerate(pairs) if names.similarity(names.fold(a).split(), names.fold(b).split(), W, frozenset(), {}) >= names.SIMILAR}
+    assert got == want and len(want) >= 4
