@@ -417,6 +417,13 @@ def g8_cohort_tiers(spark, d):
     return risk.cohorts(rows, "nation")
 
 
+@query("SELECT cohort, rows, CASE WHEN rows < 12 THEN 'high' WHEN rows < 20 THEN 'medium' ELSE 'low' END AS tier, rows < 15 AS small FROM (SELECT c_nationkey || '/' || c_mktsegment || '/' || floor(c_acctbal / 1000)::BIGINT AS cohort, count(*) AS rows FROM customer GROUP BY 1)")
+def g8_cohort_tiers_all(spark, d):
+    """Tiers of all customers by nation, segment and balance band, where g8_cohort_tiers has the high balances by nation."""
+    key = F.concat_ws("/", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("long"))
+    return risk.cohorts(table(spark, d, "customer").select(key.alias("cohort"), "c_mktsegment"), "cohort")
+
+
 @query(f"SELECT subset, count(*) AS groups, count(*) FILTER (n < 3) AS small_groups, coalesce(sum(n) FILTER (n < 3), 0)::BIGINT AS exposed_rows FROM (SELECT concat_ws(',', CASE WHEN grouping(nation) = 0 THEN 'nation' END, CASE WHEN grouping(segment) = 0 THEN 'segment' END, CASE WHEN grouping(thousands) = 0 THEN 'thousands' END) AS subset, count(*) AS n FROM {_CUSTOMERS} GROUP BY CUBE (nation, segment, thousands)) GROUP BY 1")
 def g_attribute_cube(spark, d):
     return risk.attribute_cube(_customers(spark, d), ["nation", "segment", "thousands"], 3)
