@@ -225,6 +225,13 @@ def d8_email_context(spark, d):
     return pupils(spark, d).filter(F.col("comments").rlike(scan.EMAIL)).select("record_id", f.alias("f")).select("record_id", "f.value", F.col("f.position").cast("long").alias("position"), "f.context").distinct()
 
 
+@query()
+def d8_email_contexts(spark, d):
+    """Every address of a comment with its context, where d8_email_context has the first."""
+    rows = pupils(spark, d).select("record_id", F.explode(scan.scan_emails(F.col("comments"))).alias("f"))
+    return rows.select("record_id", "f.value", F.col("f.position").cast("long").alias("position"), "f.context").distinct()
+
+
 @query(f"SELECT DISTINCT record_id, regexp_replace(comments, '{_PATTERNS['email']}', '[REDACTED EMAIL]', 'g') AS cleaned FROM pupil_records WHERE comments IS NOT NULL")
 def d10_redact_emails(spark, d):
     c = F.col("comments")
