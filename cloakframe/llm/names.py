@@ -1,17 +1,21 @@
 """Problem 3: variant spellings of names.
 
-Names are folded to Latin tokens; equal foldings need no comparison. Of the
-rest, all spellings of one class that may be one pupil are compared, without an
-index that could miss some: a class has some dozens, most pairs of which share a
-term or differ in what is known, so pairs grow with the classes. Pairs
-are verified by soft weighted token similarity, in which tokens of rare q-grams
+Names are folded to Latin tokens, each distinct spelling of a class once; equal
+foldings need no comparison. The others meet in a prefix-filtered join of one
+class: a token is indexed under its rarest q-grams, as many as one edit can
+spoil and one more, and under the short forms, beginnings and halves that stand
+for it. A link needs at least one pair of tokens that is equal, such a form or
+within one edit, so the index reaches every pair that can verify. Pairs are
+verified by soft weighted token similarity, in which tokens of rare q-grams
 count more. Full spellings that are similar, and each one with initials with its
-best partner, are edges; what hangs together is one person.
+best partner, are edges; what hangs together is one person. Mentions of staff
+meet the surnames of their school in the same index.
 
 Defined results: null or letterless names link to nothing; repeated deliveries
 count once; two records of one class and term are never one pupil; equal strings
-give no row; of equal scores an initial goes to the fuller, then more frequent,
-then alphabetically last spelling.
+give no row; a name of one token is linked to none of several; of equal scores
+an initial goes to the fuller, then more frequent, then alphabetically last
+spelling; a mention that fits several members of staff equally well names all.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,12 +31,14 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm import lookalike
 
-Q = 3
+Q = 2
 #: Least soft similarity of two spellings.
 SIMILAR = 0.7
-#: A token that makes up this share of all tokens is a name of its own, not a slip of another; so there are at most 1 / REAL of them.
-REAL = 2e-4
-LEAST_REAL = 5
+#: One slip of a name is typed at most once for so many times the name. A token more frequent than any slip of the most frequent
+#: one, and seen so many times, is a name of its own and no slip of another.
+PER_SLIP, SEEN = 50, 5
+#: Padded q-grams that one edit, a swap of neighbours included, can spoil; one more is the prefix.
+SPOILT = Q + 1
 
 #: Short forms of first names, each after the full ones.
 SHORT_FORMS = {
@@ -57,6 +63,7 @@ for _full, _shorts in SHORT_FORMS.items():
         _FULL.setdefault(_s, []).append(_full)
 _SHORT = {(full, s) for full, shorts in SHORT_FORMS.items() for s in shorts.split()}
 _CYRILLIC = dict(zip("абвгдезийклмнопрстуфхцчшщъыьэюяжђћљњџјіїєґ", "a b v g d e z i y k l m n o p r s t u f kh ts ch sh shch _ y _ e yu ya zh dj c lj nj dz j i yi ye g".split(), strict=True))
+_SERBIAN = {"ц": "c", "х": "h"}
 _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
 _SPECIAL = {"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h"}
 _LETTERS = {k: v.replace("_", "") for k, v in (_CYRILLIC | _GREEK | _SPECIAL).items()}
@@ -69,13 +76,16 @@ def fold(name: str) -> str:
     head, comma, tail = name.partition(",")
     if comma and head.strip() and tail.strip():
         name = f"{tail} {head}"
+    name = unicodedata.normalize("NFC", name.lower())
+    letters = _LETTERS | _SERBIAN if any(c in "ђћљњџј" for c in name) else _LETTERS
     plain = []
     before = ""
-    for c in unicodedata.normalize("NFKD", name.lower()):
-        if unicodedata.combining(c):
-            continue
-        plain.append("u" if c == "υ" and before == "ο" else _LETTERS.get(c, c))
-        before = c
+    for whole in name:
+        for c in whole if whole in letters else unicodedata.normalize("NFKD", whole):
+            if unicodedata.combining(c):
+                continue
+            plain.append("u" if c == "υ" and before == "ο" else letters.get(c, c))
+            before = c
     return " ".join(re.findall(r"[^\W\d_]+", re.sub(r"['’`´\-]", "", "".join(plain))))
 
 
@@ -156,63 +166,83 @@ def osa(a: str, b: str, most: int) -> int:
     return one[-1]
 
 
-def token_similarity(a: str, b: str, real: frozenset[str]) -> float:
-    """1 for equal tokens, less for short forms, initials and slips, 0 for different names."""
-    if a == b:
-        return 1.0
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) == 1:
-        return 0.8 if b[0] == a else 0.0
+def form_of(a: str, b: str) -> float:
+    """How well the shorter token ``a`` stands for ``b`` as a short form, beginning or half of it; 0 if it is none."""
     if (b, a) in _SHORT or (a, b) in _SHORT:
         return 0.9
-    if len(a) <= 4 and b.startswith(a) and len(b) - len(a) >= 2 and a not in real:
+    if 2 <= len(a) <= 4 and b.startswith(a) and len(b) - len(a) >= 2:
         return 0.85
     if len(a) >= 4 and len(b) - len(a) >= 4 and len(b) >= 9 and (b.startswith(a) or b.endswith(a)):
         return 0.85  # half of a double-barrelled name
-    if a in real and b in real:
-        return 0.0
+    return 0.0
+
+
+def token_similarity(a: str, b: str) -> tuple[float, int]:
+    """1 for equal tokens, less for short forms, initials and slips, 0 for different names; and the edits of a slip."""
+    if a == b:
+        return 1.0, 0
+    if len(a) > len(b) or (len(a) == len(b) and a > b):
+        a, b = b, a
+    if len(a) == 1:
+        return (0.8 if b[0] == a else 0.0), 0
+    form = form_of(a, b)
+    if form:
+        return form, 0
     most = 1 if len(b) < 6 else 2
     edits = osa(a, b, most)
     if edits <= most and len(b) >= 3:
-        return 1 - 0.7 * edits / len(b)
-    return 0.0
+        return 1 - 0.7 * edits / len(b), edits
+    return 0.0, 0
 
 
-def similarity(a: list[str], b: list[str], weight: Callable[[str], float], real: frozenset[str], met: dict[tuple[str, str], float]) -> float:
-    """Soft weighted similarity of two names; 0 if a first or last token has no counterpart.
+class Likeness:
+    """Soft weighted similarity of names; remembers the tokens it met."""
 
-    A middle token may be missing from the other name. ``met`` remembers pairs of tokens.
-    """
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights, self.light = weights, min(weights.values(), default=1.0)
+        self.known: dict[str, float] = {}
+        self.met: dict[tuple[str, str], tuple[float, int]] = {}
 
-    def alike(x: str, y: str) -> float:
-        if x == y:
-            return 1.0
-        if (x, y) not in met:
-            met[x, y] = token_similarity(x, y, real)
-        return met[x, y]
+    def weight(self, token: str) -> float:
+        """A token weighs as much as its rarest q-gram, an initial little."""
+        if token not in self.known:
+            self.known[token] = self.light if len(token) == 1 else max(self.weights.get(g, self.light) for g in grams(token))
+        return self.known[token]
 
-    if len(a) < len(b):
-        a, b = b, a
-    if len(b) < 2 or len(a) > 4:
-        return 0.0 if a != b else 1.0
-    best = 0.0
-    if len(a) > len(b):
-        if len(a) == 3:  # a double-barrelled surname written apart, or joined
-            best = max(similarity([a[0], a[1] + a[2]], b, weight, real, met), similarity([a[0] + a[1], a[2]], b, weight, real, met))
-        a = [a[0], *a[len(a) - len(b) + 1 :]]
-    orders = [b]
-    if len(b) == 2 and a[0] != b[0] and a[1] != b[1]:  # with an equal token in place, only that order can fit
-        orders = [b[::-1]] if a[0] == b[1] or a[1] == b[0] else [b, b[::-1]]
-    for order in orders:
-        sims = [alike(x, y) for x, y in zip(a, order, strict=True)]
-        if min(sims) <= 0 or max(s if min(len(x), len(y)) > 2 else 0 for s, x, y in zip(sims, a, order, strict=True)) < 0.75:
-            continue
-        ws = [max(weight(x), weight(y)) for x, y in zip(a, order, strict=True)]
-        best = max(best, sum(s * w for s, w in zip(sims, ws, strict=True)) / sum(ws))
-        if best > 0.9:
-            break
-    return best
+    def tokens(self, x: str, y: str, own: Collection[str] = ()) -> tuple[float, bool]:
+        """Similarity of two tokens, and whether it is strong: equal, a form of the other or within one edit.
+
+        Two names of their own are no slips of one another.
+        """
+        if x == y:
+            return 1.0, len(x) > 2
+        if (x, y) not in self.met:
+            self.met[x, y] = token_similarity(x, y)
+        s, edits = self.met[x, y]
+        if edits and x in own and y in own:
+            return 0.0, False
+        return s, min(len(x), len(y)) > 1 and max(len(x), len(y)) > 2 and s > 0 and edits < 2
+
+    def __call__(self, a: list[str], b: list[str], own: Collection[str] = ()) -> float:
+        """Similarity of two names; 0 if a first or last token has no counterpart or no pair of tokens is strong.
+
+        Middle tokens may be missing from the other name. ``own`` has the tokens that are names of their own.
+        """
+        if len(a) < len(b):
+            a, b = b, a
+        if len(b) < 2:
+            return 0.0 if a != b else 1.0
+        best = 0.0
+        if len(a) > len(b):
+            if len(a) == 3:  # a double-barrelled surname written apart, or joined
+                best = max(self([a[0], a[1] + a[2]], b, own), self([a[0] + a[1], a[2]], b, own))
+            a = [a[0], *a[len(a) - len(b) + 1 :]]
+        for order in [b, b[::-1]] if len(b) == 2 else [b]:
+            sims = [self.tokens(x, y, own) for x, y in zip(a, order, strict=True)]
+            if min(s for s, _ in sims) > 0 and any(strong for _, strong in sims):
+                ws = [max(self.weight(x), self.weight(y)) for x, y in zip(a, order, strict=True)]
+                best = max(best, sum(s * w for (s, _), w in zip(sims, ws, strict=True)) / sum(ws))
+        return best
 
 
 def grams(token: str) -> set[str]:
@@ -222,30 +252,72 @@ def grams(token: str) -> set[str]:
 
 
 def gram_weights(names: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of every q-gram; letters outside a to z count as one, so there are at most 29 ** 3."""
+    """Inverse document frequency of every q-gram; letters outside a to z count as one, so there are at most 29 ** Q."""
     t = F.concat(F.lit("^"), F.regexp_replace("t", "[^a-z]", "?"), F.lit("$"))
-    cut = names.select(F.explode("tokens").alias("t")).select(t.alias("t")).select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - Q + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(Q)))).alias("g"))
+    cut = names.select(t.alias("t")).select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - Q + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(Q)))).alias("g"))
     counts = {r["g"]: r["n"] for r in cut.groupBy("g").agg(F.count("*").alias("n")).collect()}
     total = max(1, sum(counts.values()))
     return {g: math.log(1 + total / n) for g, n in counts.items()}
 
 
-def real_tokens(names: DataFrame) -> frozenset[str]:
-    """Tokens of ``names`` (tokens, n) that are common enough to be names of their own, at most 1 / REAL of them."""
-    counted = names.select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    kept = counted.filter((F.col("n") >= max(total * REAL, LEAST_REAL)) & (F.length("t") > 1))
-    return frozenset(r["t"] for r in kept.select("t").collect())
+#: What a feature of a token is: the token itself, another token that stands for it, or one of its rarest q-grams.
+WHOLE, STANDS, GRAM = "w", "s", "g"
+
+
+def features(token: str, weights: dict[str, float]) -> list[str]:
+    """The entries of the index for one token: a mark of the kind, then what is looked up.
+
+    An edit spoils at most SPOILT padded q-grams. Of two tokens within one edit,
+    take the q-grams that are first in one order of rarity: among SPOILT + 1 of
+    each, one at least is common to both, unless a token has fewer, which then
+    are all taken.
+    """
+    if len(token) < 2:
+        return []
+    heads = [token[:k] for k in (2, 3, 4) if len(token) - k >= 2]
+    halves = [h for k in range(4, len(token) - 3) for h in (token[:k], token[-k:])] if len(token) >= 9 else []
+    stands = dict.fromkeys([*SHORT_FORMS.get(token, "").split(), *heads, *halves])
+    rare = sorted(grams(token), key=lambda g: (-weights.get(g, math.inf), g))[: SPOILT + 1] if len(token) > 1 else []
+    return [f"{WHOLE}{token}", *(f"{STANDS}{x}" for x in stands if x != token), *(f"{GRAM}{g}" for g in rare)]
+
+
+def indexed(rows: DataFrame, token: str, within: str, weights: dict[str, float]) -> DataFrame:
+    """The rows with ``_kind`` and ``_f`` of every feature of a token; ``_f`` is the hash of the feature and the column ``within``."""
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        known: dict[str, list[str]] = {}
+
+        def own(t: str) -> list[str]:
+            if t not in known:
+                known[t] = features(t, weights)
+            return known[t]
+
+        return s.map(own, na_action="ignore")
+
+    out = rows.withColumn("_x", F.explode(cut(token)))
+    kind = F.substring("_x", 1, 1)
+    return out.withColumn("_f", F.xxhash64(within, F.when(kind == GRAM, GRAM).otherwise(WHOLE), F.substring("_x", 2, 10_000_000))).withColumn("_kind", kind).drop("_x")
+
+
+def meeting(a: str, b: str, x: str, y: str) -> Column:
+    """Whether two entries of one feature make a candidate: unequal tokens of one q-gram, or one token that is the other or stands for it."""
+    gram = F.col(f"{a}._kind") == GRAM
+    return F.when(gram, (F.col(f"{b}._kind") == GRAM) & (F.col(f"{a}.{x}") != F.col(f"{b}.{y}"))).otherwise((F.col(f"{b}._kind") != GRAM) & ((F.col(f"{a}._kind") == WHOLE) | (F.col(f"{b}._kind") == WHOLE)))
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks of a stage in which Python compares names: as many as a shuffle has, however little data there is."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 TITLES = ("mr", "mrs", "ms", "miss", "dr")
-_BOYS, _GIRLS = ("m", "male", "boy", "man", "lad", "b", "masc", "masculine", "he/him"), ("f", "female", "girl", "woman", "lass", "g", "fem", "feminine", "she/her")
 
 
 def _steady(value: str, classes: tuple[tuple[str, ...], ...]) -> Column:
     """A bit for the class of a value, 0 where it is unknown."""
     known = F.create_map(*(F.lit(x) for i, words in enumerate(classes) for w in words for x in (w, 1 << i)))
-    return F.coalesce(known[F.translate(F.lower(F.trim(F.col(value))), "().", "")], F.lit(0))
+    return F.coalesce(known[F.lower(F.trim(F.translate(value, "().", "")))], F.lit(0))
 
 
 #: Terms that one mask holds.
@@ -253,14 +325,15 @@ BITS = 62
 
 
 class Spellings:
-    """The records of a table with their folded names, and each class's distinct spellings.
-
-    ``records``: class_id, key, their hash id, record_id, name (its hash) and a
-    mask of the term. ``keys``: one row per class and key with what its records have in
-    common. A key is the tokens in order of the alphabet if there are two, in
-    typed order otherwise. The list of terms (of a school system, some dozens)
-    is read to the driver to give each term its bit; ``masks`` are as many
-    columns as the terms need.
+    """The distinct names of each class, folded, and its distinct spellings.
+
+    ``names``: one row per class and name with the hashes of both (``nm``) and of
+    class and key (``id``). ``keys``: one row per class and key with what its
+    records have in common. A key is the tokens in order of the alphabet if
+    there are two, in typed order otherwise. The list of terms (of a school
+    system, some dozens) is read to the driver to give each term its bit;
+    ``masks`` are as many columns as the terms need. ``counts``: how often each
+    token occurs and whether it is a name of its own, all tokens.
     """
 
     def __init__(self, table: DataFrame) -> None:
@@ -275,18 +348,18 @@ class Spellings:
             return (F.coalesce(known[F.col("term")], F.lit(0)) if part else F.lit(0)).cast("long")
 
         yes_no = (("yes", "y"), ("no", "n"))
-        self.records = folded(
-            rows.select(
-                "class_id", "record_id", "pupil_name", F.xxhash64("pupil_name").alias("name"), *(bit(terms[i * BITS : (i + 1) * BITS]).alias(m) for i, m in enumerate(self.masks)),
-                _steady("gender", (_BOYS, _GIRLS, ("x",), ("u",))).alias("sex"), _steady("pp", yes_no).alias("pp"), _steady("eal", yes_no).alias("eal"),
-            ), "pupil_name", "names", keep=False, form=sorted_pair, id_of="class_id",
-        ).withColumnRenamed("folding", "key")
-        self.keys = settle(
-            self.records.filter("key <> ''").groupBy("class_id", "key", "id").agg(
-                *(F.bit_or(c).alias(c) for c in (*self.masks, "sex", "pp", "eal")), F.count("*").alias("n"), (F.min("name") != F.max("name")).alias("several")
-            ), "spellings",
-        )
-        self.real = real_tokens(self.keys.groupBy("key").agg(F.sum("n").alias("n")).select(F.split("key", " ").alias("tokens"), "n"))
+        bits = [bit(terms[i * BITS : (i + 1) * BITS]).alias(m) for i, m in enumerate(self.masks)]
+        nm = F.xxhash64("class_id", "pupil_name").alias("nm")
+        self.records = rows.select(nm, "record_id", *bits)
+        # what is known of sex, pp and eal: two bits each
+        steady = _steady("gender", (("m", "male"), ("f", "female"))) + 4 * _steady("pp", yes_no) + 16 * _steady("eal", yes_no)
+        common = [F.bit_or(c).alias(c) for c in (*self.masks, "steady")]
+        distinct = rows.select("class_id", "pupil_name", *bits, steady.alias("steady")).groupBy("class_id", "pupil_name").agg(*common, F.count("*").alias("n"))
+        self.names = folded(distinct.select("*", nm), "pupil_name", "names", keep=False, form=sorted_pair, id_of="class_id").withColumnRenamed("folding", "key").filter("key <> ''")
+        self.keys = settle(self.names.groupBy("class_id", "key", "id").agg(*common, F.sum("n").alias("n"), (F.count("*") > 1).alias("several")), "spellings")
+        counts = settle(self.keys.select(F.explode(F.split("key", " ")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("seen")), "tokens")
+        most = counts.agg(F.max("seen")).first()[0] or 0
+        self.counts = counts.withColumn("own", F.col("seen") >= max(SEEN, most / PER_SLIP))
 
 
 def linked_spellings(names: Spellings) -> DataFrame:
@@ -297,39 +370,39 @@ def linked_spellings(names: Spellings) -> DataFrame:
     """
     from cloakframe.sources.tables import settle
 
-    real, masks = names.real, names.masks
+    masks = names.masks
     whole = names.keys.groupBy("class_id").agg(*(F.bit_or(m).alias(f"all_{m}") for m in masks))
     missing = " OR ".join(f"{m} <> all_{m}" for m in masks)
-    open_ = settle(names.keys.join(whole, "class_id").filter(missing).select("id", "class_id", "key", *masks, "sex", "pp", "eal", "n"), "open")
-    weights = gram_weights(open_.select(F.split("key", " ").alias("tokens")))
-    light = min(weights.values(), default=1.0)
+    known = lambda c, to: names.counts.select(F.col("t").alias(c), F.col("own").alias(to))
+    open_ = names.keys.join(whole, "class_id").filter(missing).select("id", "class_id", "key", *masks, "steady", "n", F.substring_index("key", " ", 1).alias("first"), F.substring_index("key", " ", -1).alias("last"))
+    open_ = settle(open_.join(known("first", "own_first"), "first").join(known("last", "own_last"), "last").drop("first", "last"), "open")
+    weights = gram_weights(names.counts.select("t"))
+    entries = settle(indexed(open_.select("id", "class_id", *masks, "steady", F.explode(F.array_distinct(F.concat(F.split("key", " "), halves_joined("key")))).alias("t")), "t", "class_id", weights).drop("class_id"), "entries")
+
+    a, b = entries.alias("a"), entries.alias("b")
+    may = (F.col("a._f") == F.col("b._f")) & (F.col("a.id") < F.col("b.id")) & meeting("a", "b", "t", "t")
+    for m in masks:
+        may = may & (F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0)
+    for two in (3, 12, 48):  # what is known of both must not differ, unless one of them holds both values
+        x, y = F.col("a.steady").bitwiseAND(two), F.col("b.steady").bitwiseAND(two)
+        may = may & ((x == 0) | (y == 0) | (x.bitwiseAND(y) != 0))
+    met = a.join(b, may).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
     @F.pandas_udf("double")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
-        met: dict[tuple[str, str], float] = {}
-
-        def weight(token: str) -> float:
-            if len(token) == 1:
-                return light
-            if token not in known:
-                known[token] = max(weights.get(g, light) for g in grams(token))
-            return known[token]
-
-        for a, b in batches:
-            yield pd.Series([similarity(x.split(" "), y.split(" "), weight, real, met) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    steady = ("sex", "pp", "eal")
-    apart = [(F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0) for m in masks]
-    # what is known of both must not differ, unless one of them holds both values
-    agree = [(F.col(f"a.{x}") == 0) | (F.col(f"b.{x}") == 0) | (F.col(f"a.{x}").bitwiseAND(F.col(f"b.{x}")) != 0) for x in steady]
-    may = (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.id") < F.col("b.id"))
-    for c in (*apart, *agree):
-        may = may & c
-    met = open_.alias("a").join(open_.alias("b"), may).select(*(F.col(f"{t}.{c}").alias(z) for t, e in (("a", "x"), ("b", "y")) for c, z in (("id", e), ("key", f"k{e}"), ("n", f"n{e}"))))
+    def alike(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        likeness = Likeness(weights)
+        for kx, ky, ax, zx, ay, zy in batches:
+            out = []
+            for p, q, *own in zip(kx, ky, ax, zx, ay, zy, strict=True):
+                c, d = p.split(" "), q.split(" ")
+                out.append(likeness(c, d, [t for t, yes in zip((c[0], c[-1], d[0], d[-1]), own, strict=True) if yes]))
+            yield pd.Series(out, dtype="float64")
+
+    side = lambda e: open_.select(F.col("id").alias(e), F.col("key").alias(f"k{e}"), F.col("n").alias(f"n{e}"), F.col("own_first").alias(f"a{e}"), F.col("own_last").alias(f"z{e}"))
+    pairs = met.join(side("x"), "x").repartition(tasks(met), "y").join(side("y"), "y")
     full = lambda k: F.least(F.size(F.filter(F.split(k, " "), lambda x: F.length(x) > 1)), F.lit(2))
     scored = settle(
-        met.withColumn("score", F.round(alike("kx", "ky"), 6)).filter(F.col("score") >= SIMILAR)
+        pairs.withColumn("score", F.round(alike("kx", "ky", "ax", "zx", "ay", "zy"), 6)).filter(F.col("score") >= SIMILAR)
         .select("x", "y", "score", full("kx").alias("fx"), full("ky").alias("fy"), "nx", "ny", "kx", "ky"), "pairs",
     )
 
@@ -342,6 +415,12 @@ def linked_spellings(names: Spellings) -> DataFrame:
     return components(scored.filter("fx = 2 AND fy = 2").select("x", "y").unionByName(part))
 
 
+def halves_joined(key: str) -> Column:
+    """The tokens of a name of three with two neighbours written as one."""
+    t = F.split(key, " ")
+    return F.when(F.size(t) == 3, F.array(F.concat(t[0], t[1]), F.concat(t[1], t[2]))).otherwise(F.array().cast("array<string>"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, person): the smallest id that each id of the edges (x, y) can reach.
 
@@ -365,9 +444,10 @@ def same_pupils(names: Spellings) -> DataFrame:
     who = linked_spellings(names)
     # spellings that are alone and always typed alike have no pair and stay out
     person = names.keys.select("id", "several").join(who, "id", "left").filter("several OR person IS NOT NULL").select("id", F.coalesce("person", "id").alias("person"))
-    some = names.records.select("id", "record_id", "name", *names.masks).join(person, "id").select("person", "record_id", "name", *names.masks)
+    some = names.names.select("id", "nm").join(person, "id").select("nm", "person")
+    some = names.records.join(some, "nm").select("person", "record_id", "nm", *names.masks)
     a, b = some.alias("a"), some.alias("b")
-    may = (F.col("a.person") == F.col("b.person")) & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.name") != F.col("b.name"))
+    may = (F.col("a.person") == F.col("b.person")) & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.nm") != F.col("b.nm"))
     for m in names.masks:
         may = may & (F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0)
     return a.join(b, may).select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id")).distinct()
@@ -379,92 +459,87 @@ _CAPITAL = r"(?:\p{Lu}|(?:bin|de|al|el|le|van|von)-\p{Lu})"
 #: Not inside a word; a full stop after an initial.
 _START = r"(?<![\p{L}\p{M}\p{Nd}_])(?<![\p{L}\p{M}]['’\-\u00AD\u200B-\u200F\u2060\uFEFF])"
 _STOP = r"(?:(?<=(?<![\p{L}\p{M}'’\-])\p{L}\p{M}{0,2})\.)?"
-#: A title and up to two words, or two capitalised words of which the first follows no title. Every title and capitalised word begins
-#: one, so that no name is lost to the words before it.
+#: A title and up to three words, or two or three capitalised words of which the first follows no title. Every title and capitalised
+#: word begins one, so that no name is lost to the words before it.
+_NEXT = rf"(?={_CAPITAL})(?!{TITLE}){_WORD}"
 MENTION = (
-    rf"{_START}(?=({TITLE}\.?[ \u00A0]++{_WORD}(?:{_STOP}[ \u00A0](?!{TITLE}){_WORD})?"
-    rf"|(?={_CAPITAL})(?<!\b{TITLE}\.?[ \u00A0]{{1,4}}){_WORD}{_STOP},?[ \u00A0](?={_CAPITAL})(?!{TITLE}){_WORD}))"
+    rf"{_START}(?=({TITLE}\.?[ \u00A0]++{_WORD}(?:{_STOP}[ \u00A0](?!{TITLE}){_WORD}(?:{_STOP}[ \u00A0]{_NEXT})?)?"
+    rf"|(?={_CAPITAL})(?<!\b{TITLE}\.?[ \u00A0]{{1,4}}){_WORD}{_STOP},?[ \u00A0]{_NEXT}(?:{_STOP}[ \u00A0]{_NEXT})?))"
 )
 
 
 def mentions(records: DataFrame) -> DataFrame:
-    """(record_id, school_id, said): what in a comment may name a person, with its title and two words."""
+    """(record_id, school_id, said): what in a comment may name a person, with its title and words."""
     kept = records.filter("comments IS NOT NULL AND school_id IS NOT NULL AND record_id IS NOT NULL")
-    return kept.select("record_id", "school_id", F.explode(F.regexp_extract_all("comments", F.lit(MENTION), F.lit(1))).alias("said"))
+    return kept.select("record_id", "school_id", F.explode(F.regexp_extract_all("comments", F.lit(MENTION), F.lit(1))).alias("said")).withColumn(
+        "said", F.regexp_replace("said", r"['’][sS](?![\p{L}\p{M}])", "")
+    )
 
 
-def staff_similarity(said: list[str], title: str, name: list[str], real: frozenset[str], met: dict[tuple[str, str], float]) -> float:
-    """How well a folded mention names a member of staff.
+def staff_similarity(said: list[str], title: str, name: list[str], near: set[str], likeness: Likeness) -> float:
+    """How well a folded mention names a member of staff, whose surname the words of ``near`` spell.
 
     With their title the surname alone may follow; otherwise both names must be
-    there, in either order.
+    there, in either order, and count by their weight.
     """
-    if len(name) < 2:
-        return 0.0
     first, last = name[0], name[-1]
-    titles = said[:1]
-
-    def alike(x: str, y: str) -> float:
-        if (x, y) not in met:
-            met[x, y] = token_similarity(x, y, real)
-        return met[x, y]
-
-    strong = lambda x, y: alike(x, y) if min(len(x), len(y)) > 2 else 0.0
-    given = lambda x: alike(x, first)
-    if said and said[0] in TITLES:
-        said = said[1:]
-        if not said:
-            return 0.0
-        both = strong(said[1], last) * given(said[0]) ** 0.25 if len(said) > 1 and given(said[0]) > 0 else 0.0
-        if title not in titles:
-            return both if len(said) > 1 and len(said[0]) > 2 else 0.0
-        alone = strong(said[0], last) if said[0] != first or len(said) == 1 else 0.0
-        # a known surname after another first name is somebody else's
-        return both if len(said) > 1 and not both and strong(said[1], last) >= 0.9 else max(alone, both)
-    if len(said) < 2:
-        return 0.0
-    return max(min(given(x), strong(y, last)) for i in range(len(said) - 1) for x, y in ((said[i], said[i + 1]), (said[i + 1], said[i])))
-
-
-def staff_named(records: DataFrame, staff: DataFrame, real: frozenset[str]) -> DataFrame:
+    titled = said[0] in TITLES
+    words, own_title = (said[1:], said[0] == title) if titled else (said, False)
+    best = 0.0
+    for j, w in enumerate(words):
+        if w not in near:
+            continue
+        s = likeness.tokens(w, last)[0]
+        around = words[:j] if titled else [*words[:j], *words[j + 1 : j + 2]]
+        given = max((likeness.tokens(x, first)[0] for x in around if not titled or own_title or len(x) > 2), default=0.0)
+        if given > 0:
+            wf, wl = likeness.weight(first), likeness.weight(last)
+            best = max(best, (given * wf + s * wl) / (wf + wl))
+        elif titled and j > 0 and s >= 0.9:
+            return 0.0  # a known surname after another first name is somebody else's
+        elif titled and j == 0 and own_title and (w != first or len(words) == 1):
+            best = max(best, s)
+    return best
+
+
+def staff_named(records: DataFrame, staff: DataFrame, counts: DataFrame) -> DataFrame:
     """(record_id, staff_id): comments that name a member of staff of the record's own school.
 
-    Distinct mentions of a school meet its staff on the q-grams and initials
-    of their tokens; only those that meet are compared.
+    Distinct words of a school's mentions meet its staff's surnames in the
+    index; mentions with a word that spells a surname are compared as a whole.
+    ``counts`` tells of each token (t, own) of the pupils' names whether it is
+    a name of its own: such a word is no slip of a surname.
     """
     from cloakframe.sources.tables import settle
 
     said = settle(mentions(records), "mentions")
     distinct = folded(said.select("school_id", "said").distinct(), "said", "said").withColumnRenamed("folding", "tokens")
-    people = folded(staff.select("school_id", "staff_id", "title", "staff_name").filter("school_id IS NOT NULL AND staff_name IS NOT NULL"), "staff_name", "staff").select(
-        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.col("folding").alias("name")
+    people = folded(staff.select("school_id", "staff_id", "title", "staff_name").filter("school_id IS NOT NULL AND staff_name IS NOT NULL"), "staff_name", "staff").filter("folding <> ''").select(
+        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.col("folding").alias("name"), F.substring_index("folding", " ", -1).alias("last")
     )
-    weights = gram_weights(people.select(F.split("name", " ").alias("tokens")))
+    people = settle(people.filter(F.col("name").contains(" ")), "people")
+    weights = gram_weights(people.select(F.explode(F.split("name", " ")).alias("t")))
+    long = distinct.select("school_id", "said", "tokens", F.explode(F.array_distinct(F.split("tokens", " "))).alias("t")).filter((F.length("t") > 1) & ~F.col("t").isin(*TITLES))
+    words = indexed(long.select("school_id", "t").distinct(), "t", "school_id", weights).alias("a")
+    surnames = indexed(people.select("school_id", F.col("last").alias("t")).distinct(), "t", "school_id", weights).alias("b")
+    met = words.join(surnames, (F.col("a._f") == F.col("b._f")) & meeting("a", "b", "t", "t")).select("a.school_id", "a.t", F.col("b.t").alias("last")).distinct()
 
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        def own(folding: str) -> list[str]:
-            out: set[str] = set()
-            for t in folding.split(" "):
-                if t not in TITLES and len(t) > 1:
-                    out.update(g for g in grams(t) if g in weights)
-            return sorted(out)
+    @F.pandas_udf("boolean")
+    def spells(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        likeness = Likeness({})
+        return pd.Series([likeness.tokens(x, y, (x, y) if own else ())[1] for x, y, own in zip(a, b, n, strict=True)], dtype="bool")
 
-        return s.map(own)
+    sized = met.join(counts.select("t", "own"), "t", "left").fillna(False, ["own"])
+    near = settle(sized.filter(spells("t", "last", "own")).select("school_id", "t", "last"), "near")
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, t: pd.Series, n: pd.Series) -> pd.Series:
-        met: dict[tuple[str, str], float] = {}
-        return pd.Series([staff_similarity(x.split(" "), y or "", z.split(" "), real, met) for x, y, z in zip(a, t, n, strict=True)], dtype="float64")
-
-    # a title and one word meet the staff of that title alone; everything else meets all
-    title = F.substring_index("tokens", " ", 1)
-    bare = F.when(title.isin(*TITLES) & (F.length("tokens") - F.length(F.translate("tokens", " ", "")) == 1), title).otherwise("")
-    left = distinct.select("school_id", "said", "tokens", bare.alias("for"), F.explode(cut("tokens")).alias("g"))
-    right = people.select("school_id", "staff_id", "title", "name", F.explode(F.array(F.lit(""), "title")).alias("for"))
-    right = right.select("school_id", "staff_id", "title", "name", "for", F.explode(cut("name")).alias("g"))
-    met = left.join(right, ["school_id", "for", "g"]).select("school_id", "said", "tokens", "staff_id", "title", "name").distinct()
-    best = met.withColumn("score", alike("tokens", "title", "name")).filter(F.col("score") >= SIMILAR).groupBy("school_id", "said").agg(
-        F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("staff_id")).alias("order"), F.col("staff_id").alias("staff_id"))).alias("x")
-    )
-    return said.join(best, ["school_id", "said"]).select("record_id", F.col("x.staff_id").alias("staff_id")).distinct()
+    def alike(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        likeness = Likeness(weights)
+        for a, t, n, w in batches:
+            yield pd.Series([staff_similarity(x.split(" "), y or "", z.split(" "), set(v.split(" ")), likeness) for x, y, z, v in zip(a, t, n, w, strict=True)], dtype="float64")
+
+    fits = long.join(near, ["school_id", "t"]).groupBy("school_id", "said", "tokens", "last").agg(F.array_join(F.collect_set("t"), " ").alias("near"))
+    fits = fits.repartition(tasks(fits), "school_id", "said").join(people, ["school_id", "last"]).withColumn("score", F.round(alike("tokens", "title", "name", "near"), 6)).filter(F.col("score") >= SIMILAR)
+    named = settle(fits.select("school_id", "said", "staff_id", "score"), "named")
+    best = named.join(named.groupBy("school_id", "said").agg(F.max("score").alias("score")), ["school_id", "said", "score"])
+    return said.join(best, ["school_id", "said"]).select("record_id", "staff_id").distinct()
