@@ -3,9 +3,9 @@
 Names are folded to Latin tokens, each distinct spelling of a class once; equal
 foldings need no comparison. The others meet in a prefix-filtered join of one
 class: a token is indexed under its rarest q-grams, as many as one edit can
-spoil and one more, and under the short forms, beginnings and halves that stand
-for it. A link needs at least one pair of tokens that is equal, such a form or
-within one edit, so the index reaches every pair that can verify. Pairs are
+spoil and one more. A link needs at least one pair of tokens that is equal or
+within one edit (two abbreviations are never enough), so the index reaches
+every pair that can verify. Pairs are
 verified by soft weighted token similarity, in which tokens of rare q-grams
 count more. Full spellings that are similar, and each one with initials with its
 best partner, are edges; what hangs together is one person. Mentions of staff
@@ -210,18 +210,19 @@ class Likeness:
         return self.known[token]
 
     def tokens(self, x: str, y: str, own: Collection[str] = ()) -> tuple[float, bool]:
-        """Similarity of two tokens, and whether it is strong: equal, a form of the other or within one edit.
+        """Similarity of two tokens, and whether it is strong: equal or within one edit.
 
         Two names of their own are no slips of one another.
         """
         if x == y:
             return 1.0, len(x) > 2
-        if (x, y) not in self.met:
-            self.met[x, y] = token_similarity(x, y)
-        s, edits = self.met[x, y]
+        known = self.met.get((x, y))
+        if known is None:
+            known = self.met[x, y] = token_similarity(x, y)
+        s, edits = known
         if edits and x in own and y in own:
             return 0.0, False
-        return s, min(len(x), len(y)) > 1 and max(len(x), len(y)) > 2 and s > 0 and edits < 2
+        return s, edits == 1
 
     def __call__(self, a: list[str], b: list[str], own: Collection[str] = ()) -> float:
         """Similarity of two names; 0 if a first or last token has no counterpart or no pair of tokens is strong.
@@ -237,11 +238,18 @@ class Likeness:
             if len(a) == 3:  # a double-barrelled surname written apart, or joined
                 best = max(self([a[0], a[1] + a[2]], b, own), self([a[0] + a[1], a[2]], b, own))
             a = [a[0], *a[len(a) - len(b) + 1 :]]
-        for order in [b, b[::-1]] if len(b) == 2 else [b]:
-            sims = [self.tokens(x, y, own) for x, y in zip(a, order, strict=True)]
-            if min(s for s, _ in sims) > 0 and any(strong for _, strong in sims):
-                ws = [max(self.weight(x), self.weight(y)) for x, y in zip(a, order, strict=True)]
-                best = max(best, sum(s * w for (s, _), w in zip(sims, ws, strict=True)) / sum(ws))
+        for order in (b, b[::-1]) if len(b) == 2 else (b,):
+            total = of = 0.0
+            sure = False
+            for x, y in zip(a, order, strict=True):
+                s, strong = self.tokens(x, y, own)
+                if s <= 0:
+                    break
+                w = max(self.weight(x), self.weight(y))
+                total, of, sure = total + s * w, of + w, sure or strong
+            else:
+                if sure:
+                    best = max(best, total / of)
         return best
 
 
@@ -260,12 +268,8 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
     return {g: math.log(1 + total / n) for g, n in counts.items()}
 
 
-#: What a feature of a token is: the token itself, another token that stands for it, or one of its rarest q-grams.
-WHOLE, STANDS, GRAM = "w", "s", "g"
-
-
 def features(token: str, weights: dict[str, float]) -> list[str]:
-    """The entries of the index for one token: a mark of the kind, then what is looked up.
+    """The q-grams under which a token is indexed, the rarest first.
 
     An edit spoils at most SPOILT padded q-grams. Of two tokens within one edit,
     take the q-grams that are first in one order of rarity: among SPOILT + 1 of
@@ -274,15 +278,11 @@ def features(token: str, weights: dict[str, float]) -> list[str]:
     """
     if len(token) < 2:
         return []
-    heads = [token[:k] for k in (2, 3, 4) if len(token) - k >= 2]
-    halves = [h for k in range(4, len(token) - 3) for h in (token[:k], token[-k:])] if len(token) >= 9 else []
-    stands = dict.fromkeys([*SHORT_FORMS.get(token, "").split(), *heads, *halves])
-    rare = sorted(grams(token), key=lambda g: (-weights.get(g, math.inf), g))[: SPOILT + 1] if len(token) > 1 else []
-    return [f"{WHOLE}{token}", *(f"{STANDS}{x}" for x in stands if x != token), *(f"{GRAM}{g}" for g in rare)]
+    return sorted(grams(token), key=lambda g: (-weights.get(g, math.inf), g))[: SPOILT + 1]
 
 
 def indexed(rows: DataFrame, token: str, within: str, weights: dict[str, float]) -> DataFrame:
-    """The rows with ``_kind`` and ``_f`` of every feature of a token; ``_f`` is the hash of the feature and the column ``within``."""
+    """The rows with ``_f``, the hash of each feature of a token and of the column ``within``, and ``_top``, whether it is the token's first."""
 
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:
@@ -295,15 +295,13 @@ def indexed(rows: DataFrame, token: str, within: str, weights: dict[str, float])
 
         return s.map(own, na_action="ignore")
 
-    out = rows.withColumn("_x", F.explode(cut(token)))
-    kind = F.substring("_x", 1, 1)
-    return out.withColumn("_f", F.xxhash64(within, F.when(kind == GRAM, GRAM).otherwise(WHOLE), F.substring("_x", 2, 10_000_000))).withColumn("_kind", kind).drop("_x")
+    out = rows.select("*", F.posexplode(cut(token)).alias("_at", "_g"))
+    return out.withColumns({"_f": F.xxhash64(within, "_g"), "_top": F.col("_at") == 0}).drop("_at", "_g")
 
 
-def meeting(a: str, b: str, x: str, y: str) -> Column:
-    """Whether two entries of one feature make a candidate: unequal tokens of one q-gram, or one token that is the other or stands for it."""
-    gram = F.col(f"{a}._kind") == GRAM
-    return F.when(gram, (F.col(f"{b}._kind") == GRAM) & (F.col(f"{a}.{x}") != F.col(f"{b}.{y}"))).otherwise((F.col(f"{b}._kind") != GRAM) & ((F.col(f"{a}._kind") == WHOLE) | (F.col(f"{b}._kind") == WHOLE)))
+def meeting(x: str, y: str) -> Column:
+    """Whether the entries ``a`` and ``b`` of one feature make a candidate: equal tokens meet once, under their first feature."""
+    return (F.col("a._f") == F.col("b._f")) & (F.col("a._top") | (F.col(f"a.{x}") != F.col(f"b.{y}")))
 
 
 def tasks(df: DataFrame) -> int:
@@ -333,7 +331,7 @@ class Spellings:
     there are two, in typed order otherwise. The list of terms (of a school
     system, some dozens) is read to the driver to give each term its bit;
     ``masks`` are as many columns as the terms need. ``counts``: how often each
-    token occurs and whether it is a name of its own, all tokens.
+    token occurs, all tokens. ``own``: those that are names of their own.
     """
 
     def __init__(self, table: DataFrame) -> None:
@@ -359,7 +357,8 @@ class Spellings:
         self.keys = settle(self.names.groupBy("class_id", "key", "id").agg(*common, F.sum("n").alias("n"), (F.count("*") > 1).alias("several")), "spellings")
         counts = settle(self.keys.select(F.explode(F.split("key", " ")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("seen")), "tokens")
         most = counts.agg(F.max("seen")).first()[0] or 0
-        self.counts = counts.withColumn("own", F.col("seen") >= max(SEEN, most / PER_SLIP))
+        self.own = settle(counts.filter(F.col("seen") >= max(SEEN, most / PER_SLIP)).select("t"), "own")
+        self.counts = counts
 
 
 def linked_spellings(names: Spellings) -> DataFrame:
@@ -373,14 +372,15 @@ def linked_spellings(names: Spellings) -> DataFrame:
     masks = names.masks
     whole = names.keys.groupBy("class_id").agg(*(F.bit_or(m).alias(f"all_{m}") for m in masks))
     missing = " OR ".join(f"{m} <> all_{m}" for m in masks)
-    known = lambda c, to: names.counts.select(F.col("t").alias(c), F.col("own").alias(to))
+    own = lambda c, to: names.own.select(F.col("t").alias(c), F.lit(True).alias(to))
     open_ = names.keys.join(whole, "class_id").filter(missing).select("id", "class_id", "key", *masks, "steady", "n", F.substring_index("key", " ", 1).alias("first"), F.substring_index("key", " ", -1).alias("last"))
-    open_ = settle(open_.join(known("first", "own_first"), "first").join(known("last", "own_last"), "last").drop("first", "last"), "open")
+    open_ = settle(open_.join(own("first", "own_first"), "first", "left").join(own("last", "own_last"), "last", "left").fillna(False, ["own_first", "own_last"]).drop("first", "last"), "open")
     weights = gram_weights(names.counts.select("t"))
-    entries = settle(indexed(open_.select("id", "class_id", *masks, "steady", F.explode(F.array_distinct(F.concat(F.split("key", " "), halves_joined("key")))).alias("t")), "t", "class_id", weights).drop("class_id"), "entries")
+    tokens = open_.select("id", "class_id", *masks, "steady", F.explode(F.array_distinct(F.concat(F.split("key", " "), halves_joined("key")))).alias("t"))
+    entries = indexed(tokens, "t", "class_id", weights).select("_f", "_top", F.xxhash64("t").alias("h"), "id", *masks, "steady")
 
     a, b = entries.alias("a"), entries.alias("b")
-    may = (F.col("a._f") == F.col("b._f")) & (F.col("a.id") < F.col("b.id")) & meeting("a", "b", "t", "t")
+    may = (F.col("a.id") < F.col("b.id")) & meeting("h", "h")
     for m in masks:
         may = may & (F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0)
     for two in (3, 12, 48):  # what is known of both must not differ, unless one of them holds both values
@@ -457,7 +457,7 @@ TITLE = r"(?:[Mm][Rr][Ss]?|[Mm][Ss]|[Mm][Ii][Ss][Ss]|[Dd][Rr])\b"
 _WORD = r"[\p{L}\p{M}'’\-\u00AD\u200B-\u200F\u2060\uFEFF]++"
 _CAPITAL = r"(?:\p{Lu}|(?:bin|de|al|el|le|van|von)-\p{Lu})"
 #: Not inside a word; a full stop after an initial.
-_START = r"(?<![\p{L}\p{M}\p{Nd}_])(?<![\p{L}\p{M}]['’\-\u00AD\u200B-\u200F\u2060\uFEFF])"
+_START = r"(?=\p{Lu}|[Mm][RrIiSs]|[Dd][Rr]|(?:bin|de|al|el|le|van|von)-)(?<![\p{L}\p{M}\p{Nd}_])(?<![\p{L}\p{M}]['’\-\u00AD\u200B-\u200F\u2060\uFEFF])"
 _STOP = r"(?:(?<=(?<![\p{L}\p{M}'’\-])\p{L}\p{M}{0,2})\.)?"
 #: A title and up to three words, or two or three capitalised words of which the first follows no title. Every title and capitalised
 #: word begins one, so that no name is lost to the words before it.
@@ -489,7 +489,7 @@ def staff_similarity(said: list[str], title: str, name: list[str], near: set[str
     for j, w in enumerate(words):
         if w not in near:
             continue
-        s = likeness.tokens(w, last)[0]
+        s = likeness.tokens(w, last)[0] or 0.85  # a part of a double-barrelled surname
         around = words[:j] if titled else [*words[:j], *words[j + 1 : j + 2]]
         given = max((likeness.tokens(x, first)[0] for x in around if not titled or own_title or len(x) > 2), default=0.0)
         if given > 0:
@@ -502,35 +502,41 @@ def staff_similarity(said: list[str], title: str, name: list[str], near: set[str
     return best
 
 
-def staff_named(records: DataFrame, staff: DataFrame, counts: DataFrame) -> DataFrame:
+def staff_named(records: DataFrame, staff: DataFrame, own: DataFrame) -> DataFrame:
     """(record_id, staff_id): comments that name a member of staff of the record's own school.
 
     Distinct words of a school's mentions meet its staff's surnames in the
     index; mentions with a word that spells a surname are compared as a whole.
-    ``counts`` tells of each token (t, own) of the pupils' names whether it is
-    a name of its own: such a word is no slip of a surname.
+    ``own`` has the tokens (t) that are names of their own: such a word is no
+    slip of a surname.
     """
     from cloakframe.sources.tables import settle
 
     said = settle(mentions(records), "mentions")
     distinct = folded(said.select("school_id", "said").distinct(), "said", "said").withColumnRenamed("folding", "tokens")
     people = folded(staff.select("school_id", "staff_id", "title", "staff_name").filter("school_id IS NOT NULL AND staff_name IS NOT NULL"), "staff_name", "staff").filter("folding <> ''").select(
-        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.col("folding").alias("name"), F.substring_index("folding", " ", -1).alias("last")
+        "school_id", "staff_id", F.lower(F.regexp_replace("title", r"\W", "")).alias("title"), F.col("folding").alias("name"), F.substring_index("folding", " ", -1).alias("last"), "staff_name"
     )
-    people = settle(people.filter(F.col("name").contains(" ")), "people")
+
+    @F.pandas_udf("array<string>")
+    def spoken(s: pd.Series) -> pd.Series:
+        """The surname, and each part of a double-barrelled one."""
+        return s.map(lambda n: [fold(p).replace(" ", "") for p in [last := n.split()[-1], *(last.split("-") if "-" in last else [])]])
+
+    people = settle(people.filter(F.col("name").contains(" ")).withColumn("said_as", spoken("staff_name")).drop("staff_name"), "people")
     weights = gram_weights(people.select(F.explode(F.split("name", " ")).alias("t")))
     long = distinct.select("school_id", "said", "tokens", F.explode(F.array_distinct(F.split("tokens", " "))).alias("t")).filter((F.length("t") > 1) & ~F.col("t").isin(*TITLES))
     words = indexed(long.select("school_id", "t").distinct(), "t", "school_id", weights).alias("a")
-    surnames = indexed(people.select("school_id", F.col("last").alias("t")).distinct(), "t", "school_id", weights).alias("b")
-    met = words.join(surnames, (F.col("a._f") == F.col("b._f")) & meeting("a", "b", "t", "t")).select("a.school_id", "a.t", F.col("b.t").alias("last")).distinct()
+    surnames = indexed(people.select("school_id", "last", F.explode("said_as").alias("t")).filter(F.length("t") > 2).distinct(), "t", "school_id", weights).alias("b")
+    met = words.join(surnames, meeting("t", "t")).select("a.school_id", "a.t", F.col("b.t").alias("part"), "b.last").distinct()
 
     @F.pandas_udf("boolean")
     def spells(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
         likeness = Likeness({})
         return pd.Series([likeness.tokens(x, y, (x, y) if own else ())[1] for x, y, own in zip(a, b, n, strict=True)], dtype="bool")
 
-    sized = met.join(counts.select("t", "own"), "t", "left").fillna(False, ["own"])
-    near = settle(sized.filter(spells("t", "last", "own")).select("school_id", "t", "last"), "near")
+    sized = met.join(own.select("t", F.lit(True).alias("own")), "t", "left").fillna(False, ["own"])
+    near = settle(sized.filter(spells("t", "part", "own")).select("school_id", "t", "last").distinct(), "near")
 
     @F.pandas_udf("double")
     def alike(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -52,7 +52,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "pupil_records")
     spelled = names.Spellings(records)
     pupils = names.same_pupils(spelled).select(F.lit("pupil_name").alias("field_name"), "left_id", "right_id")
-    staff = names.staff_named(records, table(spark, d, "staff"), spelled.counts)
+    staff = names.staff_named(records, table(spark, d, "staff"), spelled.own)
     return pupils.unionByName(staff.select(F.lit("comments").alias("field_name"), F.col("record_id").alias("left_id"), F.col("staff_id").alias("right_id")))
 
 
