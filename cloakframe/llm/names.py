@@ -521,7 +521,12 @@ def staff_named(records: DataFrame, staff: DataFrame, own: DataFrame) -> DataFra
     @F.pandas_udf("array<string>")
     def spoken(s: pd.Series) -> pd.Series:
         """The surname, and each part of a double-barrelled one."""
-        return s.map(lambda n: [fold(p).replace(" ", "") for p in [last := n.split()[-1], *(last.split("-") if "-" in last else [])]])
+
+        def parts(name: str) -> list[str]:
+            last = name.split()[-1]
+            return [fold(p).replace(" ", "") for p in dict.fromkeys([last, *last.split("-")])]
+
+        return s.map(parts)
 
     people = settle(people.filter(F.col("name").contains(" ")).withColumn("said_as", spoken("staff_name")).drop("staff_name"), "people")
     weights = gram_weights(people.select(F.explode(F.split("name", " ")).alias("t")))
