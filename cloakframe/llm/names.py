@@ -239,17 +239,15 @@ class Likeness:
                 best = max(self([a[0], a[1] + a[2]], b, own), self([a[0] + a[1], a[2]], b, own))
             a = [a[0], *a[len(a) - len(b) + 1 :]]
         for order in (b, b[::-1]) if len(b) == 2 else (b,):
-            total = of = 0.0
-            sure = False
-            for x, y in zip(a, order, strict=True):
-                s, strong = self.tokens(x, y, own)
-                if s <= 0:
+            sims = []
+            for x, y in zip(a, order):
+                s = self.tokens(x, y, own)
+                if s[0] <= 0:
                     break
-                w = max(self.weight(x), self.weight(y))
-                total, of, sure = total + s * w, of + w, sure or strong
-            else:
-                if sure:
-                    best = max(best, total / of)
+                sims.append(s)
+            if len(sims) == len(a) and any(strong for _, strong in sims):
+                ws = [max(self.weight(x), self.weight(y)) for x, y in zip(a, order)]
+                best = max(best, sum(s * w for (s, _), w in zip(sims, ws)) / sum(ws))
         return best
 
 
@@ -281,22 +279,29 @@ def features(token: str, weights: dict[str, float]) -> list[str]:
     return sorted(grams(token), key=lambda g: (-weights.get(g, math.inf), g))[: SPOILT + 1]
 
 
-def indexed(rows: DataFrame, token: str, within: str, weights: dict[str, float]) -> DataFrame:
-    """The rows with ``_f``, the hash of each feature of a token and of the column ``within``, and ``_top``, whether it is the token's first."""
+def cutter(weights: dict[str, float]) -> Callable[[Column], Column]:
+    """The features of each token of an array, in Arrow batches."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<array<string>>")
     def cut(s: pd.Series) -> pd.Series:
         known: dict[str, list[str]] = {}
 
-        def own(t: str) -> list[str]:
-            if t not in known:
-                known[t] = features(t, weights)
-            return known[t]
+        def own(tokens) -> list[list[str]]:
+            for t in tokens:
+                if t not in known:
+                    known[t] = features(t, weights)
+            return [known[t] for t in tokens]
 
         return s.map(own, na_action="ignore")
 
-    out = rows.select("*", F.posexplode(cut(token)).alias("_at", "_g"))
-    return out.withColumns({"_f": F.xxhash64(within, "_g"), "_top": F.col("_at") == 0}).drop("_at", "_g")
+    return cut
+
+
+def indexed(rows: DataFrame, tokens: str, cut: str, within: str) -> DataFrame:
+    """One row per token and feature: ``t``, ``_f``, the hash of the feature and of the column ``within``, and ``_top``, whether it is the token's first."""
+    each = rows.select("*", F.posexplode(tokens).alias("_i", "t")).withColumn("_g", F.element_at(cut, F.col("_i") + 1))
+    out = each.select("*", F.posexplode("_g").alias("_at", "_x"))
+    return out.withColumns({"_f": F.xxhash64(within, "_x"), "_top": F.col("_at") == 0}).drop(tokens, cut, "_i", "_g", "_at", "_x")
 
 
 def meeting(x: str, y: str) -> Column:
@@ -374,11 +379,10 @@ def linked_spellings(names: Spellings) -> DataFrame:
     missing = " OR ".join(f"{m} <> all_{m}" for m in masks)
     own = lambda c, to: names.own.select(F.col("t").alias(c), F.lit(True).alias(to))
     open_ = names.keys.join(whole, "class_id").filter(missing).select("id", "class_id", "key", *masks, "steady", "n", F.substring_index("key", " ", 1).alias("first"), F.substring_index("key", " ", -1).alias("last"))
-    open_ = settle(open_.join(own("first", "own_first"), "first", "left").join(own("last", "own_last"), "last", "left").fillna(False, ["own_first", "own_last"]).drop("first", "last"), "open")
     weights = gram_weights(names.counts.select("t"))
-    tokens = open_.select("id", "class_id", *masks, "steady", F.explode(F.array_distinct(F.concat(F.split("key", " "), halves_joined("key")))).alias("t"))
-    entries = indexed(tokens, "t", "class_id", weights).select("_f", "_top", F.xxhash64("t").alias("h"), "id", *masks, "steady")
-
+    cut, tokens = cutter(weights), F.array_distinct(F.concat(F.split("key", " "), halves_joined("key")))
+    open_ = settle(open_.join(own("first", "own_first"), "first", "left").join(own("last", "own_last"), "last", "left").fillna(False, ["own_first", "own_last"]).drop("first", "last").withColumn("tokens", tokens).withColumn("cut", cut("tokens")), "open")
+    entries = indexed(open_.select("id", "class_id", *masks, "steady", "tokens", "cut"), "tokens", "cut", "class_id").select("_f", "_top", F.xxhash64("t").alias("h"), "id", *masks, "steady")
     a, b = entries.alias("a"), entries.alias("b")
     may = (F.col("a.id") < F.col("b.id")) & meeting("h", "h")
     for m in masks:
@@ -393,9 +397,9 @@ def linked_spellings(names: Spellings) -> DataFrame:
         likeness = Likeness(weights)
         for kx, ky, ax, zx, ay, zy in batches:
             out = []
-            for p, q, *own in zip(kx, ky, ax, zx, ay, zy, strict=True):
+            for p, q, *own in zip(*(z.tolist() for z in (kx, ky, ax, zx, ay, zy)), strict=True):
                 c, d = p.split(" "), q.split(" ")
-                out.append(likeness(c, d, [t for t, yes in zip((c[0], c[-1], d[0], d[-1]), own, strict=True) if yes]))
+                out.append(likeness(c, d, [t for t, yes in zip((c[0], c[-1], d[0], d[-1]), own) if yes]))
             yield pd.Series(out, dtype="float64")
 
     side = lambda e: open_.select(F.col("id").alias(e), F.col("key").alias(f"k{e}"), F.col("n").alias(f"n{e}"), F.col("own_first").alias(f"a{e}"), F.col("own_last").alias(f"z{e}"))
@@ -432,8 +436,9 @@ def components(edges: DataFrame) -> DataFrame:
     both = settle(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = settle(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("id")).alias("person")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("y"), "person"), "y").groupBy(F.col("x").alias("id")).agg(F.min("person").alias("near"))
-        new = settle(labels.join(near, "id").select("id", F.least("person", "near").alias("person"), (F.col("near") < F.col("person")).alias("moved")), "labels")
+        near = both.join(labels.select(F.col("id").alias("y"), "person"), "y").select(F.col("x").alias("id"), "person", F.lit(None).cast("long").alias("own"))
+        said = near.unionByName(labels.select("id", "person", F.col("person").alias("own")))
+        new = settle(said.groupBy("id").agg(F.min("person").alias("person"), F.min("own").alias("own")).select("id", "person", (F.col("person") < F.col("own")).alias("moved")), "labels")
         labels = new.drop("moved")
         if new.filter("moved").isEmpty():
             return labels
@@ -457,7 +462,7 @@ TITLE = r"(?:[Mm][Rr][Ss]?|[Mm][Ss]|[Mm][Ii][Ss][Ss]|[Dd][Rr])\b"
 _WORD = r"[\p{L}\p{M}'’\-\u00AD\u200B-\u200F\u2060\uFEFF]++"
 _CAPITAL = r"(?:\p{Lu}|(?:bin|de|al|el|le|van|von)-\p{Lu})"
 #: Not inside a word; a full stop after an initial.
-_START = r"(?=\p{Lu}|[Mm][RrIiSs]|[Dd][Rr]|(?:bin|de|al|el|le|van|von)-)(?<![\p{L}\p{M}\p{Nd}_])(?<![\p{L}\p{M}]['’\-\u00AD\u200B-\u200F\u2060\uFEFF])"
+_START = r"(?<![\p{L}\p{M}\p{Nd}_])(?=\p{Lu}|m[RrIiSs]|d[Rr]|(?:bin|de|al|el|le|van|von)-)(?<![\p{L}\p{M}]['’\-\u00AD\u200B-\u200F\u2060\uFEFF])"
 _STOP = r"(?:(?<=(?<![\p{L}\p{M}'’\-])\p{L}\p{M}{0,2})\.)?"
 #: A title and up to three words, or two or three capitalised words of which the first follows no title. Every title and capitalised
 #: word begins one, so that no name is lost to the words before it.
@@ -531,8 +536,10 @@ def staff_named(records: DataFrame, staff: DataFrame, own: DataFrame) -> DataFra
     people = settle(people.filter(F.col("name").contains(" ")).withColumn("said_as", spoken("staff_name")).drop("staff_name"), "people")
     weights = gram_weights(people.select(F.explode(F.split("name", " ")).alias("t")))
     long = distinct.select("school_id", "said", "tokens", F.explode(F.array_distinct(F.split("tokens", " "))).alias("t")).filter((F.length("t") > 1) & ~F.col("t").isin(*TITLES))
-    words = indexed(long.select("school_id", "t").distinct(), "t", "school_id", weights).alias("a")
-    surnames = indexed(people.select("school_id", "last", F.explode("said_as").alias("t")).filter(F.length("t") > 2).distinct(), "t", "school_id", weights).alias("b")
+    cut = cutter(weights)
+    words = indexed(long.select("school_id", "t").distinct().select("school_id", F.array("t").alias("tokens")).withColumn("cut", cut("tokens")), "tokens", "cut", "school_id").alias("a")
+    surnames = people.select("school_id", "last", F.filter("said_as", lambda t: F.length(t) > 2).alias("tokens")).distinct().withColumn("cut", cut("tokens"))
+    surnames = indexed(surnames, "tokens", "cut", "school_id").alias("b")
     met = words.join(surnames, meeting("t", "t")).select("a.school_id", "a.t", F.col("b.t").alias("part"), "b.last").distinct()
 
     @F.pandas_udf("boolean")
@@ -550,7 +557,7 @@ def staff_named(records: DataFrame, staff: DataFrame, own: DataFrame) -> DataFra
             yield pd.Series([staff_similarity(x.split(" "), y or "", z.split(" "), set(v.split(" ")), likeness) for x, y, z, v in zip(a, t, n, w, strict=True)], dtype="float64")
 
     fits = long.join(near, ["school_id", "t"]).groupBy("school_id", "said", "tokens", "last").agg(F.array_join(F.collect_set("t"), " ").alias("near"))
-    fits = fits.repartition(tasks(fits), "school_id", "said").join(people, ["school_id", "last"]).withColumn("score", F.round(alike("tokens", "title", "name", "near"), 6)).filter(F.col("score") >= SIMILAR)
+    fits = fits.join(people, ["school_id", "last"]).withColumn("score", F.round(alike("tokens", "title", "name", "near"), 6)).filter(F.col("score") >= SIMILAR)
     named = settle(fits.select("school_id", "said", "staff_id", "score"), "named")
     best = named.join(named.groupBy("school_id", "said").agg(F.max("score").alias("score")), ["school_id", "said", "score"])
     return said.join(best, ["school_id", "said"]).select("record_id", "staff_id").distinct()
