@@ -3,10 +3,12 @@
 Strings and code points that look alike are edges of a graph; union-find gives
 its transitive classes. Within a class the representative is a plain member of
 the wanted script, the most frequent one in the corpus first. An automaton over
-all other members rewrites a text greedily, leftmost and longest. A letter that
-only looks like one of another script is rewritten only inside a word that
-mixes scripts (or that is written wholly in look-alikes amid the other script),
-so that names and words of another script stay as they are.
+all other members rewrites a text greedily, leftmost and longest. Letters of
+one script that are drawn alike (``ɡ`` and ``g``) give way to the more frequent
+of them everywhere; letters of a style (``𝐑``, ``ſ``) give way within words; a
+letter that only looks like one of another script is rewritten only inside a
+word that mixes scripts (or that is written wholly in look-alikes amid the other
+script), so that names and words of another script stay as they are.
 
 Defined results: null stays null and has no row; an empty text stays empty;
 what has no plain look-alike stays; the result is its own consistent form
@@ -20,23 +22,24 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of other scripts that look like the Latin letter before them.
+# Letters of other scripts (Cyrillic, Greek, Armenian, Coptic, Cherokee) drawn like the Latin letter before them.
 SCRIPT_LOOKALIKES = {
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "іι", "j": "јϳ", "k": "кκ", "l": "ӏ", "n": "ηո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ",
-    "t": "τ", "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ", "y": "уγү", "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ",
-    "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
+    "a": "аα", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "кκ", "l": "ӏ", "n": "ηո", "o": "оοօⲟ", "p": "рρ", "q": "ԛզ", "s": "ѕ",
+    "t": "τ", "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ", "y": "уγү", "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹⲤᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "Ꮐ", "H": "НΗⲎᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ",
+    "K": "КΚⲔᏦ", "L": "Ꮮ", "M": "МΜⲘᎷ", "N": "ΝⲚ", "O": "ОΟՕⲞ", "P": "РΡⲢᏢ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤⲦᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧⲬ", "Y": "УΥҮ", "Z": "ΖᏃ",
 }
-#: Latin letters of phonetic writing that look like ordinary ones.
-PHONETIC = {"ɡ": "g", "ɑ": "a"}
-#: Invisible characters that are not in the category of format characters.
-INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0" + "".join(map(chr, range(0xFE00, 0xFE10)))
+#: Names of Latin letters drawn like an ordinary one, which the name ends with; ALPHA is an ``a``.
+_DRAWN = re.compile(r"LATIN (?:SMALL LETTER (?:SCRIPT )?|LETTER SMALL CAPITAL )([A-Z]|ALPHA)$")
+#: Invisible characters that are not in the category of format characters, and visible ones that are.
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0" + "".join(map(chr, (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))))
+_SIGNS = frozenset(map(chr, (*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)))
 #: Rows without any character outside this class hold nothing to rewrite (checked inside the JVM).
-PLAIN_ONLY = r"^[\x00-\x7F\u00A1-\u00AC\u00AE-\u0131\u0134-\u0148\u014A-\u017F\u2010-\u2027\u2030-\u205E\u2070-\u218F]*+$"
-#: Code points above this are looked up when met, not listed beforehand.
-LISTED = 0x10000
+PLAIN_ONLY = r"^[\x00-\x7F\u00A1-\u00AC\u00AE-\u0131\u0134-\u0148\u014A-\u017E\u2010-\u2027\u2030-\u205E\u2070-\u20FF\u2150-\u218F]*+$"
+#: All code points but surrogates, Hangul syllables, unified ideographs, and planes that hold nothing else.
+_LISTED = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0xE0000, 0xE0200))
 
 
 class Classes:
@@ -73,69 +76,94 @@ def script(letter: str) -> str:
 
 def stands_for(c: str) -> str | None:
     """The plain string for which a code point stands whatever is around it; None if it is plain itself."""
-    if c in PHONETIC:
-        return PHONETIC[c]
-    if c in INVISIBLE or unicodedata.category(c) == "Cf":
+    kind = unicodedata.category(c)
+    if c in INVISIBLE or (kind == "Cf" and c not in _SIGNS):
         return ""
-    if unicodedata.category(c) == "Zs":
+    if kind == "Zs":
         return None if c == " " else " "
     tag, _, code = unicodedata.decomposition(c).partition("> ")
+    if not tag:
+        return None
     if tag in ("<wide", "<narrow"):
         return chr(int(code, 16))
-    if tag == "<compat" and unicodedata.category(c)[0] == "L":
+    if tag == "<compat" and kind[0] == "L":
         parts = "".join(chr(int(x, 16)) for x in code.split())
         if len(parts) > 1 and parts.isalpha():
             return unicodedata.normalize("NFC", parts)
+    composed = unicodedata.normalize("NFC", c)
+    return composed if len(composed) == 1 and composed != c and kind[0] == "L" else None
+
+
+def styled(c: str) -> str | None:
+    """The letter of which a code point is a style (bold, script, long); None if it is none."""
+    tag, _, code = unicodedata.decomposition(c).partition("> ")
+    if tag in ("<font", "<compat") and unicodedata.category(c)[0] == "L" and " " not in code:
+        return chr(int(code, 16))
     return None
 
 
-def edges() -> Iterator[tuple[str, str, bool]]:
-    """(member, member, whether the first always gives way)."""
-    for n in range(0x80, LISTED):
+#: How the members of an edge go together: the first always gives way, gives way within words, the rarer gives way, or only where scripts mix.
+ALWAYS, STYLE, RARER, SCRIPT = "always", "style", "rarer", "script"
+
+
+def edges() -> Iterator[tuple[str, str, str]]:
+    """(member, member, how) from the decompositions and names of the code points, and from letters drawn alike across scripts."""
+    for n in (n for part in _LISTED for n in part):
         c = chr(n)
-        if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4:
-            continue
         plain = stands_for(c)
         if plain is not None:
-            yield c, plain, True
-        apart = unicodedata.normalize("NFD", c)
+            yield c, plain, ALWAYS
+            continue
+        apart = unicodedata.normalize("NFD", c) if unicodedata.decomposition(c) else ""
         if len(apart) > 1 and unicodedata.normalize("NFC", apart) == c:
-            yield apart, c, True
+            yield apart, c, ALWAYS
             # marks that were added one after the other
-            for k in range(2, len(apart)):
-                yield unicodedata.normalize("NFC", apart[:k]) + apart[k:], c, True
-    for latin, others in SCRIPT_LOOKALIKES.items():
-        for o in others:
-            yield o, latin, False
+            yield from ((unicodedata.normalize("NFC", apart[:k]) + apart[k:], c, ALWAYS) for k in range(2, len(apart)))
+        letter = styled(c)
+        if letter is not None:
+            yield c, letter, STYLE
+        drawn = _DRAWN.match(unicodedata.name(c, ""))
+        if drawn and c > "\x7f":
+            yield c, drawn[1][0].lower(), RARER
+    yield from ((o, latin, SCRIPT) for latin, others in SCRIPT_LOOKALIKES.items() for o in others)
 
 
 class Rewriter:
     """Classes, representatives and the automaton, built from the corpus counts of code points."""
 
     def __init__(self, counts: dict[str, int]) -> None:
-        classes, yielding = Classes(), set()
-        for a, b, always in edges():
+        classes, yielding, rarer = Classes(), set(), Classes()
+        self.style: dict[str, str] = {}
+        for a, b, how in edges():
             if not a:
                 continue
             classes.join(a, b)
-            if always:
+            if how == ALWAYS:
                 yielding.add(a)
+            elif how == STYLE:
+                self.style[a] = b
+            elif how == RARER:
+                rarer.join(a, b)
         self.always: dict[str, str] = {}
         self.by_script: dict[str, dict[str, str]] = {}
+        often = lambda x: (-counts.get(x, 0), x)
+        for group in rarer.groups():  # letters of one script: the most frequent one stands for all
+            best = min(group, key=often)
+            self.always.update((x, best) for x in group if x != best)
         for group in classes.groups():
-            plain = sorted((x for x in group if x not in yielding), key=lambda x: (-counts.get(x, 0), x))
+            plain = sorted((x for x in group if x not in yielding and x not in self.style and x not in self.always), key=often)
             best = {}
             for x in plain:
                 best.setdefault(script(x) if len(x) == 1 else "", x)
             for x in group:
                 if x in yielding:
                     self.always[x] = self._own(x, plain, best)
-                elif len(x) == 1 and len(best) > 1:
+                elif len(x) == 1 and len(best) > 1 and x not in self.always and x not in self.style:
                     self.by_script[x] = best
         self.step = self._automaton()
 
     def __getstate__(self) -> dict:
-        return {"always": self.always, "by_script": self.by_script}
+        return {"always": self.always, "by_script": self.by_script, "style": self.style}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -149,6 +177,12 @@ class Rewriter:
             return best.get(script(direct) if len(direct) == 1 else "", direct)
         return direct if direct is not None else plain[0]
 
+    def odd(self, text: Column) -> Column:
+        """Whether a text may hold something to rewrite: an uncommon character, or a plain one that gives way to a more frequent one."""
+        plain = "".join(sorted(x for x in self.always if len(x) == 1 and re.match(PLAIN_ONLY.replace("*+", "*"), x)))
+        uncommon = ~text.rlike(PLAIN_ONLY)
+        return uncommon | text.rlike(f"[{re.escape(plain)}]") if plain else uncommon
+
     def _automaton(self):
         try:
             import ahocorasick
@@ -185,10 +219,12 @@ class Rewriter:
         return word
 
     def __call__(self, text: str | None) -> str | None:
-        if text is None or text.isascii():
+        if text is None or (text.isascii() and self.always.keys().isdisjoint(text)):
             return text
-        for _ in range(4):
+        while True:  # every round shortens the text or leaves fewer characters that give way
             new = self.step(text)
+            if not self.style.keys().isdisjoint(new):
+                new = WORDS.sub(lambda m: "".join(self.style.get(c, c) for c in m[0]) if len(m[0]) > 1 else m[0], new)
             if new == text:
                 break
             text = new
@@ -234,7 +270,7 @@ def consistent(rows: DataFrame, key: list[str], text: str, counts: dict[str, int
     def rewrite(s: pd.Series) -> pd.Series:
         return s.map(r, na_action="ignore")
 
-    odd = rows.select(*key, F.col(text).alias("before")).filter(~F.col("before").rlike(PLAIN_ONLY))
+    odd = rows.select(*key, F.col(text).alias("before")).filter(r.odd(F.col("before")))
     return odd.withColumn("after", rewrite("before")).filter("after <> before")
 
 
@@ -246,5 +282,5 @@ def all_consistent(rows: DataFrame, text: str, counts: dict[str, int]) -> DataFr
     def rewrite(s: pd.Series) -> pd.Series:
         return s.map(r, na_action="ignore")
 
-    odd = rows.filter(~F.col(text).rlike(PLAIN_ONLY)).withColumn(text, rewrite(F.col(text)))
-    return rows.filter(F.col(text).isNull() | F.col(text).rlike(PLAIN_ONLY)).unionByName(odd)
+    odd = rows.filter(r.odd(F.col(text))).withColumn(text, rewrite(F.col(text)))
+    return rows.filter(F.col(text).isNull() | ~r.odd(F.col(text))).unionByName(odd)

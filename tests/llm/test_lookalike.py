@@ -8,7 +8,8 @@ R = lookalike.Rewriter({})
 @pytest.mark.parametrize(("text", "want"), [
     ("Ｇｒａｃｅ", "Grace"), ("Rose", "Rose"), ("Zoë", "Zoë"), ("a b　c", "a b c"), ("Ro​se­", "Rose"), ("Rоse", "Rose"), ("Εmуr", "Emyr"), ("eﬃcient", "efficient"),
     ("lanɡuage", "language"), ("Милица Жарковић", "Милица Жарковић"), ("angle α and π", "angle α and π"), ("x² ½ “q” – é", "x² ½ “q” – é"), ("Милицa", "Милица"), ("a  b\nc", "a  b\nc"), ("", ""), (None, None),
-    ("conﬁԁent", "confident"), ("Ξένια's", "Ξένια's"), ("ﬁ", "fi"), ("Łukasz", "Łukasz"), ("Å", "Å"), ("q́", "q́"),
+    ("Ro\U000e0041se", "Rose"), ("\U0001d411\U0001d428\U0001d42c\U0001d41e", "Rose"), ("\U0001d411e\u0301ne\U0001d41e\u0301", "Réneé"), ("ᎪNN", "ANN"), ("Ꮓoe", "Zoe"), ("roᴀd", "road"), ("Roſe", "Rose"), ("set ℝ of", "set ℝ of"), ("\u212aate", "Kate"), ("ᏣᎳᎩ", "ᏣᎳᎩ"),
+    ("a\u0328\u0301\u200b\u00ad" * 3, "ą́" * 3), ("e\ufe0f\U000e0101x", "ex"), ("conﬁԁent", "confident"), ("Ξένια's", "Ξένια's"), ("ﬁ", "fi"), ("Łukasz", "Łukasz"), ("Å", "Å"), ("q́", "q́"),
 ])
 def test_forms(text, want):
     assert R(text) == want
@@ -20,8 +21,22 @@ def test_rewriting_twice_changes_nothing(text):
 
 
 def test_frequency_chooses_between_plain_members():
-    counts = {"ο": 9, "օ": 1}
-    assert lookalike.Rewriter(counts).by_script["o"]["LATIN"] == "o"
+    assert lookalike.Rewriter({"g": 9, "ɡ": 2})("ɡoinɡ") == "going" and lookalike.Rewriter({"g": 2, "ɡ": 9})("going") == "ɡoinɡ"
+    assert lookalike.Rewriter({"у": 9, "ү": 2})("Мyр") == "Мур" and lookalike.Rewriter({"у": 2, "ү": 9})("Мyр") == "Мүр"
+    assert lookalike.Rewriter({"Ｒ": 9})("Ｒose") == "Rose"  # a full-width letter is never the standard form
+
+
+def test_brute_force_over_all_code_points():
+    """What stands for plain text by the Unicode tables is rewritten, wherever it stands in a word."""
+    import unicodedata
+
+    for n in range(0x80, 0x110000):
+        c = chr(n)
+        tag, _, code = unicodedata.decomposition(c).partition("> ")
+        if unicodedata.category(c)[0] == "L" and tag in ("<wide", "<font") and len(code) == 4 and int(code, 16) < 0x80:
+            assert R(f"a{c}b") == f"a{chr(int(code, 16))}b", hex(n)
+        elif unicodedata.category(c) == "Zs" or (0xE0020 <= n < 0xE0080):
+            assert R(f"a{c}b") == ("a b" if unicodedata.category(c) == "Zs" else "ab"), hex(n)
 
 
 def test_union_find_is_transitive():
