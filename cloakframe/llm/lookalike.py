@@ -95,9 +95,9 @@ def stands_for(c: str) -> str | None:
 
 
 def styled(c: str) -> str | None:
-    """The letter of which a code point is a style (bold, script, long); None if it is none."""
+    """The letter of which a code point is a style (bold, script, long); None if it is none. The sign of micro is a sign."""
     tag, _, code = unicodedata.decomposition(c).partition("> ")
-    if tag in ("<font", "<compat") and unicodedata.category(c)[0] == "L" and " " not in code:
+    if tag in ("<font", "<compat") and unicodedata.category(c)[0] == "L" and " " not in code and c != "µ":
         return chr(int(code, 16))
     return None
 
