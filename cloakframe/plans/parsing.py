@@ -25,6 +25,11 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     ).distinct()
 
 
+def p1_invalid_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value that cannot be cast, with the reason and how often it occurs."""
+    return parse.value_faults(*_tables(spark, d))
+
+
 _ROWS = """
 WITH h AS (SELECT upload_id, any_value(headers) AS h, coalesce(nullif(any_value(delimiter_char), ''), ',') AS d FROM uploads GROUP BY 1),
 r AS (SELECT 'raw_rows' AS origin, row_id, h, regexp_full_match(d || raw_line, '(?:' || d || '(?:"(?:[^"]|"")*"|[^"' || d || ']*))*') AS ok,
@@ -49,4 +54,11 @@ SQL = {
       coalesce(c[list_position(h, 'Comments')], '') AS comments, len(h)::BIGINT AS n_cells
     FROM s WHERE broken IS NULL AND NOT EXISTS (SELECT 1 FROM b WHERE b.origin = s.origin AND b.row_id = s.row_id)""",
 }
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded}
+SQL["p1_invalid_values"] = _ROWS.replace("unnest(h) AS h, unnest(c) AS c", "unnest(h) AS h, unnest(c) AS c, unnest(c) AS o").replace("SELECT origin, row_id, h, trim(", "SELECT origin, row_id, h, o, trim(") + """,
+k AS (SELECT CASE WHEN h LIKE '%Score%' OR h LIKE '%Attendance%' THEN 'number' ELSE 'date' END AS kind, o AS value, c, TRY_CAST(nullif(regexp_extract(c, '^(\\d+(?:\\.\\d+)?)\\s*%?$', 1), '') AS DOUBLE) AS x
+  FROM v WHERE c <> '' AND (h LIKE '%Score%' OR h LIKE '%Attendance%' OR h IN ('DOB', 'Date of Birth'))),
+w AS (SELECT kind, value, CASE WHEN kind = 'number' THEN CASE WHEN c IN ('Absent', 'N/A', 'X', '-', 'Withdrawn') THEN NULL WHEN x IS NULL THEN 'not a number' WHEN x > 100 THEN 'out of range' END
+  WHEN NOT regexp_full_match(c, '\\d{4}-\\d{2}-\\d{2}|\\d{2}/\\d{2}/\\d{4}') THEN 'not a date'
+  WHEN TRY_CAST(CASE WHEN c LIKE '%/%' THEN c[7:] || '-' || c[4:5] || '-' || c[:2] ELSE c END AS DATE) IS NULL THEN 'no such date' END AS why FROM k)
+SELECT kind, value, why, count(*) AS n FROM w WHERE why IS NOT NULL GROUP BY ALL"""
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_invalid_values": p1_invalid_values}
