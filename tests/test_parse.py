@@ -63,7 +63,7 @@ def test_loads_what_a_writer_wrote(spark, cells):
     assert not any(cells) or row[0]["record"] == want
 
 
-def test_distinct_values_are_cast_once(spark):
-    rows = parse.structured(*tables(spark, raw=[(i, 1, "A,,bad,") for i in range(50)]))
-    bad = parse.invalid_values(parse.checked_cells(rows)).collect()
-    assert [(r["kind"], r["value"]) for r in bad] == [("number", "bad")]
+def test_distinct_values_are_cast_once_with_their_reasons(spark):
+    lines = ["A,,bad,"] * 50 + ["A,,101,", "A,31/02/2010,5,", "A,1/2/2010,5,", "A,,Absent,", "A,, ,"]
+    bad = parse.value_faults(*tables(spark, raw=[(i, 1, x) for i, x in enumerate(lines)])).collect()
+    assert {(r["kind"], r["value"], r["why"], r["n"]) for r in bad} == {("number", "bad", "not a number", 50), ("number", "101", "out of range", 1), ("date", "31/02/2010", "no such date", 1), ("date", "1/2/2010", "not a date", 1)}
