@@ -77,15 +77,18 @@ _MAIL_CUE = re.compile(r"(?:mail|contact|write|writes|use|not|reply|from|to|ask|
 _ANY_MAIL = re.compile(r"[\w.+\-]+\s?@\s?[\w.:'\-]+")
 _ANY_NUMBER = re.compile(r"(?<![\w.\-/])[(+]?\d(?:[ .\-()/]{0,2}\d){5,14}(?![\w])")
 _ANY_ADDRESS = re.compile(rf"(?<!\w)(?:\d{{1,4}}[A-Za-z]?,?\s)?{_NAMED}\s(?:{STREETS})(?!\w)")
+_DIGIT, _STREET = re.compile(r"\d"), re.compile(rf"\s(?i:{STREETS})(?!\w)")
 _THING = re.compile(r"\b(?:calculator|locker|textbook|book|code|room|version|page|chapter|paper|room|code|isbn|laptop|order)\W*(?:\w+\W+){0,1}$", re.I)
 
 
 def gazetteer(names: DataFrame, column: str) -> tuple[frozenset[str], frozenset[str]]:
     """First and last tokens of a name column, each common enough to be trusted; at most 1 / SUPPORT of either."""
+    from cloakframe.sources.tables import settle
+
     n = F.trim(F.regexp_replace(F.lower(F.col(column)), r"\s+", " "))
     straight = names.select(F.split(n, " ").alias("t")).filter(~F.exists("t", lambda x: x.endswith(",")))
     ends = straight.filter(F.size("t") == 2).select(F.explode(F.array(F.struct(F.lit("first").alias("place"), F.col("t")[0].alias("token")), F.struct(F.lit("last").alias("place"), F.col("t")[1].alias("token")))).alias("x")).select("x.*")
-    counted = ends.groupBy("place", "token").agg(F.count("*").alias("n"))
+    counted = settle(ends.groupBy("place", "token").agg(F.count("*").alias("n")), "gazetteer")
     total = counted.groupBy("place").agg(F.sum("n").alias("total"))
     kept = counted.join(total, "place").filter((F.col("n") >= F.col("total") * SUPPORT) & (F.col("n") >= LEAST) & (F.length("token") >= 2)).select("place", "token", "n").collect()
     count = {p: {r["token"]: r["n"] for r in kept if r["place"] == p} for p in ("first", "last")}
@@ -135,9 +138,10 @@ class Finder:
         taken: list[tuple[int, int]] = []
         if "@" in text or "at" in text:
             self._emails(text, out, taken)
-        if any(c.isdigit() for c in text):
+        if _DIGIT.search(text):
             self._numbers(text, out, taken)
-        self._addresses(text, out, taken)
+        if _STREET.search(text):
+            self._addresses(text, out, taken)
         self._names(text, tokens, out, taken)
         return out
 
@@ -253,7 +257,7 @@ class Finder:
 
     @staticmethod
     def _capital(word: str) -> bool:
-        return word[0].isupper() or any(p[:1].isupper() for p in re.split(r"[-'’]", word)[1:])
+        return word[0].isupper() or (not word.isalpha() and any(p[:1].isupper() for p in re.split(r"[-'’]", word)[1:]))
 
     @staticmethod
     def _gap(text, tokens, i) -> str:
