@@ -7,6 +7,9 @@ demand reaches the tokens of its source that come before it. Sorting by
 position in ranges gives the training order.
 
 The total is the largest at which no source is used more often than allowed.
+What a source still owes after its whole copies is filled with the documents
+that fit, first in the order of a hash, then those that fit into what is left,
+until it is met to NEAR or nothing fits; one long text cannot decide a share.
 Shares of listed sources that have no tokens go to the others in proportion.
 
 Defined results: sources that are not listed have share 0 and are not used;
@@ -29,6 +32,8 @@ from cloakframe.sources.tables import settle
 SUMMED = 100_000
 #: How far a schedule may leave its mean: 0 is constant, 1 falls to nothing at one end.
 TILT = 0.6
+#: A source's demand counts as met when so small a part of it is open.
+NEAR = 1e-4
 
 
 def targets(mix: DataFrame) -> dict[str, tuple[float, int]]:
@@ -102,13 +107,45 @@ def mix(sized: DataFrame, mix_targets: DataFrame) -> DataFrame:
     if not shares:
         return sized.sparkSession.createDataFrame([], schema)
     slope = tilts(shares, wanted)
-    per = F.create_map(*(F.lit(x) for s in shares for x in (s, F.struct(F.lit(total * shares[s]).alias("want"), F.lit(float(found[s][0])).alias("have"), F.lit(slope[s]).alias("a"), F.lit(wanted[s][1]).alias("most")))))
-    used = running(rows.filter(F.col("source").isin(*shares)), {s: found[s][1] for s in shares}).withColumn("p", per[F.col("source")])
-    # a copy belongs to the mix if at least half of it lies within the demand
-    copies = F.least(F.floor((F.col("p.want") - F.col("before") - F.col("n_tokens") / 2) / F.col("p.have")) + 1, F.col("p.most")).cast("int")
-    chosen = used.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    at = F.least((F.col("copy") * F.col("p.have") + F.col("before")) / F.col("p.want"), F.lit(1.0))
-    return chosen.select(F.round(inverse(at, F.col("p.a")) * total).cast("long").alias("position"), "doc_id", "source", "copy", "n_tokens").orderBy("position", "source", "doc_id", "copy")
+    want, have = {s: total * p for s, p in shares.items()}, {s: found[s][0] for s in shares}
+    whole = {s: min(int(want[s] / have[s] + 1e-9), wanted[s][1]) for s in shares}
+    owed = {s: want[s] - whole[s] * have[s] if whole[s] < wanted[s][1] else 0.0 for s in shares}
+    used = settle(running(rows.filter(F.col("source").isin(*shares)), {s: found[s][1] for s in shares}), "running")
+    full = by_source(whole, "int")
+    copies = used.filter(full > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), full - 1))).withColumn("at", F.col("copy") * by_source(have, "double") + F.col("before"))
+    part = filled(used, owed, want).withColumn("copy", full).withColumn("at", full * by_source(have, "double") + F.col("before"))
+    chosen = copies.unionByName(part, allowMissingColumns=True)
+    at = F.least(F.col("at") / by_source(want, "double"), F.lit(1.0))
+    place = F.round(inverse(at, by_source(slope, "double")) * total).cast("long").alias("position")
+    return chosen.select(place, "doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens").orderBy("position", "source", "doc_id", "copy")
+
+
+def by_source(values: dict[str, float], kind: str) -> Column:
+    """The value of a row's source, from the short list of sources."""
+    return F.create_map(*(x for s, v in values.items() for x in (F.lit(s), F.lit(v).cast(kind))))[F.col("source")]
+
+
+def filled(used: DataFrame, owed: dict[str, float], want: dict[str, float]) -> DataFrame:
+    """(doc_id, source, n_tokens, before): documents of each source that together fill what it owes without exceeding it.
+
+    Every round takes, in order, all that fits; the next one looks only at
+    documents that fit into what is left, and at least the first of them does.
+    """
+    columns = ["doc_id", "source", "n_tokens", "before"]
+    taken, left, start = None, used.select(*columns), dict.fromkeys(owed, 0)
+    while True:
+        gap = {s: owed[s] - start[s] for s in owed}
+        marked = settle(left.withColumn("fits", F.col("before") + F.col("n_tokens") <= by_source(gap, "double")), "filling")
+        fit = marked.filter("fits").withColumn("before", F.col("before") + by_source(start, "long")).select(*columns)
+        taken = fit if taken is None else taken.unionByName(fit)
+        for r in marked.filter("fits").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():
+            start[r["source"]] += r["n"]
+        gap = {s: owed[s] - start[s] for s in owed}
+        rest = marked.filter(~F.col("fits") & (F.col("n_tokens") <= by_source({s: g if g > NEAR * want[s] else 0.0 for s, g in gap.items()}, "double"))).select("doc_id", "source", "n_tokens")
+        sizes = {r["source"]: r["n"] for r in rest.groupBy("source").agg(F.count("*").alias("n")).collect()}
+        if not sizes:
+            return taken
+        left = running(rest, sizes)
 
 
 def shares_reached(sized: DataFrame, mix_targets: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -119,9 +156,9 @@ def shares_reached(sized: DataFrame, mix_targets: DataFrame, mixed: DataFrame) -
     )
     spark = sized.sparkSession
     listed = spark.createDataFrame([(s, p, r) for s, (p, r) in targets(mix_targets).items()], "source string, target_share double, max_repeats int")
-    whole = got.agg(F.sum("tokens").alias("total"))
+    total = got.agg(F.sum("tokens")).first()[0] or 1
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return listed.join(have, "source", "full").join(got, "source", "left").join(whole).select(
+    return listed.join(have, "source", "full").join(got, "source", "left").select(
         "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), zero("max_repeats"), zero("available_tokens"), zero("tokens"), zero("docs"), zero("most_copies"),
-        F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"),
+        F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("reached_share"),
     )

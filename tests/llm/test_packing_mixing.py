@@ -109,3 +109,11 @@ def test_nothing_to_mix(spark):
     assert mixed(spark, [(1, "a", 0)], [("a", 1.0, 1)])[0] == []
     assert mixed(spark, [(1, "a", 5)], [("b", 1.0, 1), (None, 0.5, 1), ("a", None, None)])[0] == []
     assert len(mixed(spark, [(1, "a", 5), (2, "a", 5)], [("a", 1.0, None), ("a", 0.5, 3)])[0]) == 2
+
+
+def test_one_long_text_does_not_decide_a_share(spark):
+    sized = [(i, "long", 7_000 if i == 0 else 10 + i % 3) for i in range(400)] + [(1000 + i, "even", 10) for i in range(4000)]
+    rows, shares = mixed(spark, sized, [("long", 0.1, 1), ("even", 0.9, 1)])
+    assert abs(shares["long"]["reached_share"] - 0.1) < 0.001 and len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
+    got = [r for r in rows if r["source"] == "long"]
+    assert 0 not in {r["doc_id"] for r in got} and sum(r["n_tokens"] for r in got) <= 0.1 / 0.9 * 40_000 + 1
