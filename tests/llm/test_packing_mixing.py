@@ -112,7 +112,7 @@ def test_nothing_to_mix(spark):
 
 
 def test_one_long_text_does_not_decide_a_share(spark):
-    sized = [(i, "long", 7_000 if i == 0 else 10 + i % 3) for i in range(400)] + [(1000 + i, "even", 10) for i in range(4000)]
+    sized = [(i, "long", 7_000 if i == 0 else 10 + i % 3) for i in range(800)] + [(1000 + i, "even", 10) for i in range(4000)]
     rows, shares = mixed(spark, sized, [("long", 0.1, 1), ("even", 0.9, 1)])
     assert abs(shares["long"]["reached_share"] - 0.1) < 0.001 and len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
     got = [r for r in rows if r["source"] == "long"]
