@@ -2,4 +2,19 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+#: Full-width and joined forms, invisible characters, spaces other than U+0020, and letters of phonetic writing.
+_ODD = (
+    r"[\x{A0}\x{AD}\x{34F}\x{132}\x{133}\x{149}\x{251}\x{261}\x{1680}\x{180E}\x{2000}-\x{200F}\x{202A}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{3164}"
+    r"\x{FB00}-\x{FB06}\x{FE00}-\x{FE0F}\x{FEFF}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7CB}\x{E0000}-\x{E01EF}]"
+)
+_LATIN, _OTHER = r"[\p{Latin}]", r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Coptic}\p{Cherokee}]"
+#: A word with letters of two scripts.
+_MIXED = rf"{_LATIN}[\p{{L}}\p{{M}}]*{_OTHER}|{_OTHER}[\p{{L}}\p{{M}}]*{_LATIN}"
+#: A word all of whose letters look like Latin ones, in a text that is Latin besides.
+_ALIKE = r"(?:^|[^\p{L}\p{M}])[асԁеһіјкӏорԛѕԝхуАВСЕНІЈКМОРЅТХУԜαινορτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ]{2,}(?:[^\p{L}\p{M}]|$)"
+_MOSTLY_LATIN = r"len(regexp_extract_all(t, '[\p{Latin}]')) > len(regexp_extract_all(t, '[\p{Cyrillic}\p{Greek}]'))"
+
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH x AS (SELECT 'pupil_records' AS origin, record_id AS row_id, pupil_name AS t FROM pupil_records UNION ALL SELECT 'responses', response_id, text FROM responses)
+SELECT DISTINCT origin, row_id FROM x WHERE regexp_matches(t, '{_ODD}') OR nfc_normalize(t) <> t OR regexp_matches(t, '{_MIXED}') OR (regexp_matches(t, '{_ALIKE}') AND {_MOSTLY_LATIN})""",
+}
