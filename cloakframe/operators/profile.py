@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,11 @@ def is_sensitive(heading: str) -> bool:
     return heading_matches(heading, IDENTIFIER_HEADINGS)
 
 
+def sensitive(heading: Column) -> Column:
+    """The same test on a column of headings."""
+    return heading.rlike("(?i)" + "|".join(f"(?:{p})" for p in IDENTIFIER_HEADINGS))
+
+
 def is_mis_categorical(heading: str) -> bool:
     return _has_word(heading, MIS_WORDS)
 
@@ -145,3 +151,9 @@ def roles(df: DataFrame, name: str | None = None, gender: str | None = None, num
         tuple(r["name"] for r in rows if r["type"] == "free-text" or re.search("comment|note|remark", r["name"], re.I)),
         of("categorical"),
     )
+
+
+def without(df: DataFrame, removed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The table without some columns, and its profile made anew: what was chosen for the old columns no longer holds."""
+    left = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in set(removed)))
+    return left, profile(left)

@@ -22,7 +22,11 @@ TEMPLATES = (
         "id": "analyse-class-performance", "name": "Analyse Class Performance",
         "description": "Identify trends, outliers, and intervention groups from anonymised class data. Returns structured JSON for easy review.",
         "tier": "free", "outputFormat": "json", "deanonymiseStrategy": "json",
-        "questions": ({"id": "subject", "label": "Subject", "required": True}, {"id": "focus", "label": "Analysis focus", "required": True}, {"id": "context", "label": "Additional context", "required": False}),
+        "questions": (
+            {"id": "subject", "label": "Subject", "type": "text", "placeholder": "e.g. Year 10 Maths", "required": True},
+            {"id": "focus", "label": "Analysis focus", "type": "dropdown", "options": ("trends", "intervention", "outliers", "groups"), "required": True},
+            {"id": "context", "label": "Additional context", "type": "text", "placeholder": "e.g. Recent mock exam results, focus on PP students", "required": False},
+        ),
         "preamble": "Analyse the following {subject} class data. Focus on: {focus}.", "optional": {"context": " Additional context: {context}"},
         "jsonSchema": {
             "type": "object",
@@ -57,14 +61,22 @@ TEMPLATES = (
     {
         "id": "write-report-comments", "name": "Write Report Comments", "description": "Generate individual report comments for each student based on their anonymised data.",
         "tier": "free", "outputFormat": "prose", "deanonymiseStrategy": "id-first",
-        "questions": ({"id": "subject", "label": "Subject", "required": True}, {"id": "tone", "label": "Tone", "required": True}, {"id": "wordCount", "label": "Approximate word count per comment", "required": True}),
+        "questions": (
+            {"id": "subject", "label": "Subject", "type": "text", "placeholder": "e.g. Year 9 English", "required": True},
+            {"id": "tone", "label": "Tone", "type": "dropdown", "options": ("formal", "encouraging", "targets"), "required": True},
+            {"id": "wordCount", "label": "Approximate word count per comment", "type": "dropdown", "options": ("50", "100", "150"), "required": True},
+        ),
         "preamble": "Write individual report comments for each student in the following {subject} class data. Use a {tone} tone. Each comment should be approximately {wordCount} words.",
     },
     {
         "id": "generate-differentiated-questions", "name": "Generate Differentiated Questions",
         "description": "Create tiered questions at multiple difficulty levels, tailored to student groups in the class data.",
         "tier": "free", "outputFormat": "prose", "deanonymiseStrategy": "id-first",
-        "questions": ({"id": "subjectAndTopic", "label": "Subject and topic", "required": True}, {"id": "difficultyLevels", "label": "Number of difficulty levels", "required": True}, {"id": "questionsPerLevel", "label": "Questions per level", "required": True}),
+        "questions": (
+            {"id": "subjectAndTopic", "label": "Subject and topic", "type": "text", "placeholder": "e.g. GCSE Biology — Photosynthesis", "required": True},
+            {"id": "difficultyLevels", "label": "Number of difficulty levels", "type": "dropdown", "options": ("2", "3"), "required": True},
+            {"id": "questionsPerLevel", "label": "Questions per level", "type": "dropdown", "options": ("3", "5"), "required": True},
+        ),
         "preamble": "Using the following class data, generate differentiated questions for {subjectAndTopic}. Create {difficultyLevels} difficulty levels with {questionsPerLevel} questions per level. Tailor the difficulty to the student groups visible in the data.",
     },
 )

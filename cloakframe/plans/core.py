@@ -248,15 +248,6 @@ def d12_flags_by_type(spark, d):
     return flags.groupBy("type", F.coalesce("subtype", F.lit("")).alias("subtype")).agg(F.count("*").alias("flags"))
 
 
-@query()
-def d13_accepted_flags(spark, d):
-    """Flags left after every flag of a kind of postcode shape was refused by a reviewer."""
-    rows = pupils(spark, d).select("record_id", "comments").distinct()
-    flags = scan.scan_table(rows, "record_id", ["comments"], scan.ScanConfig(keywords={}))
-    decisions = flags.select("record_id", "position", (F.col("type") != "postcode").alias("accepted")).distinct()
-    return scan.approved_only(flags, decisions, ["record_id", "position"])
-
-
 # --- E: pseudonyms
 
 @query("SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(trim(c_name)), '\\s+')) AS token FROM customer) WHERE token <> ''")
@@ -418,15 +409,15 @@ def g5_recommendations(spark, d):
     return report.recommendations.select(*long("part"), "text")
 
 
-@query("SELECT nation, rows, CASE WHEN rows < 12 THEN 'high' WHEN rows < 20 THEN 'medium' ELSE 'low' END AS tier, rows < 15 AS small FROM (SELECT c_nationkey::BIGINT AS nation, count(*) AS rows FROM customer WHERE c_acctbal > 8500 GROUP BY 1)")
+@query("SELECT nation, rows, CASE WHEN rows < 12 THEN 'high' WHEN rows < 20 THEN 'medium' ELSE 'low' END AS tier, rows < 15 AS small FROM (SELECT c_nationkey::BIGINT AS nation, count(*) AS rows FROM customer GROUP BY 1)")
 def g8_cohort_tiers(spark, d):
-    rows = table(spark, d, "customer").filter("c_acctbal > 8500").select(F.col("c_nationkey").cast("long").alias("nation"), "c_mktsegment")
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), "c_mktsegment")
     return risk.cohorts(rows, "nation")
 
 
 @query("SELECT cohort, rows, CASE WHEN rows < 12 THEN 'high' WHEN rows < 20 THEN 'medium' ELSE 'low' END AS tier, rows < 15 AS small FROM (SELECT c_nationkey || '/' || c_mktsegment || '/' || floor(c_acctbal / 1000)::BIGINT AS cohort, count(*) AS rows FROM customer GROUP BY 1)")
 def g8_cohort_tiers_all(spark, d):
-    """Tiers of all customers by nation, segment and balance band, where g8_cohort_tiers has the high balances by nation."""
+    """Tiers of all customers by nation, segment and balance band."""
     key = F.concat_ws("/", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("long"))
     return risk.cohorts(table(spark, d, "customer").select(key.alias("cohort"), "c_mktsegment"), "cohort")
 
@@ -443,21 +434,6 @@ def _restored(spark, d, strategy: str) -> DataFrame:
     return out.select("response_id", "text", "parsed", "valid", F.concat_ws("|", "unmatched").alias("unmatched"), "id_matches", "name_matches")
 
 
-@query()
-def h1_nfkc(spark, d):
-    return table(spark, d, "responses").select("response_id", text.nfkc(F.col("text")).alias("text"))
-
-
-@query()
-def h3_restore_ids(spark, d):
-    return restore.restore_ids(table(spark, d, "responses"), table(spark, d, "name_mappings"), "upload_id", "response_id")
-
-
-@query()
-def h8_unmatched_names(spark, d):
-    return restore.unmatched_names(table(spark, d, "responses"), table(spark, d, "name_mappings"), "upload_id", "response_id")
-
-
 @query()
 def h10_restore_id_first(spark, d):
     return _restored(spark, d, "id-first")
