@@ -4,33 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.numeric import bounded_noise, finite, parse_float
 from cloakframe.functions.prng import draw
-from cloakframe.operators.order import numbered
 from cloakframe.sources.tables import settle
 
 
-def drawn(df: DataFrame, column: str, order: list[str], seed: int, base: int = 0) -> DataFrame:
-    """The rows with ``_x``, the cell's number or null, and ``_u``, the draw that a finite cell consumes.
+def number_of(df: DataFrame, column: str) -> Column:
+    """The finite number in a cell, null where there is none."""
+    x = parse_float(F.col(f"`{column}`")) if dict(df.dtypes)[column] == "string" else F.col(f"`{column}`").cast("double")
+    return F.when(finite(x), x)
 
-    They are written, so that the long expression of a draw is evaluated once.
+
+def drawn(df: DataFrame, columns: Sequence[str], order: list[str], seed: int, base: int = 0) -> tuple[DataFrame, int]:
+    """The rows with ``_x0``, ``_x1``, ...: the cells' numbers or null, and ``_u0``, ``_u1``, ...: the draws that finite cells consume.
+
+    The rows are cut into ranges of the order and written once, with the
+    numbers of all columns; a draw's number is the count of finite cells of the
+    columns before, of the ranges before, and of the rows before within the
+    range. Returns the draws used in all as well.
     """
-    x = parse_float(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column).cast("double")
-    rows = df.withColumn("_x", F.when(finite(x), x))
-    yes = numbered(rows.filter("_x IS NOT NULL"), order, "_draw", base + 1).withColumn("_u", draw(seed, F.col("_draw"))).drop("_draw")
-    return settle(yes.unionByName(rows.filter("_x IS NULL").withColumn("_u", F.lit(None).cast("double"))), "draws")
+    numbers = df.select("*", *(number_of(df, c).alias(f"_x{i}") for i, c in enumerate(columns)))
+    rows = settle(numbers.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    # one row per range and as many sums as columns: what a range's own number of rows is to a table, this is to its ranges
+    counts = rows.groupBy("_part").agg(*(F.count(f"_x{i}").alias(f"_n{i}") for i in range(len(columns))))
+    past = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = counts.agg(*(F.coalesce(F.sum(f"_n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(columns)))).first()
+    starts = [base + sum(whole[:i]) for i in range(len(columns))]
+    before = counts.select("_part", *(F.coalesce(F.sum(f"_n{i}").over(past), F.lit(0)).alias(f"_b{i}") for i in range(len(columns))))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.select("*", *(F.count(f"_x{i}").over(own).alias(f"_k{i}") for i in range(len(columns)))).join(before, "_part")
+    at = [F.when(F.col(f"_x{i}").isNotNull(), draw(seed, F.col(f"_k{i}") + F.col(f"_b{i}") + start)).alias(f"_u{i}") for i, start in enumerate(starts)]
+    keep = [F.col(f"`{c}`") for c in df.columns] + [F.col(f"_x{i}") for i in range(len(columns))]
+    return seen.select(*keep, *at), base + sum(whole)
 
 
 def noised_column(
     df: DataFrame, column: str, order: list[str], seed: int, base: int = 0, maximum: float = 100.0, share: float = 0.05, boundaries: Sequence[float] | None = None
 ) -> DataFrame:
     """The rows with ``column`` noised (as double, null where it was no number) and ``failed``."""
-    noise = bounded_noise(F.col("_x"), F.col("_u"), maximum or 100.0, share or 0.05, boundaries)
-    out = drawn(df, column, order, seed, base).withColumn("_noise", F.when(F.col("_x").isNotNull(), noise))
-    return out.withColumn(column, F.col("_noise.value")).withColumn("failed", F.coalesce("_noise.failed", F.lit(False))).drop("_x", "_u", "_noise")
+    rows, _ = drawn(df, [column], order, seed, base)
+    noise = bounded_noise(F.col("_x0"), F.col("_u0"), maximum or 100.0, share or 0.05, boundaries)
+    out = rows.withColumn("_noise", F.when(F.col("_x0").isNotNull(), noise))
+    return out.withColumn(column, F.col("_noise.value")).withColumn("failed", F.coalesce("_noise.failed", F.lit(False))).drop("_x0", "_u0", "_noise")
 
 
 def noised_table(
@@ -40,17 +58,17 @@ def noised_table(
 
     Returns the table, one row per column with its failures, and the number of draws used in all.
     """
-    failures = []
-    for c in columns:
-        rows = drawn(df, c, order, seed, used)
-        used += rows.filter("_u IS NOT NULL").count()
-        n = bounded_noise(F.col("_x"), F.col("_u"), maximum or 100.0, share or 0.05, boundaries)
-        rows = rows.withColumn("_noise", F.when(F.col("_x").isNotNull(), n))
-        failures.append(rows.agg(F.lit(c).alias("column"), F.coalesce(F.sum(F.when(F.col("_noise.failed"), 1).otherwise(0)), F.lit(0)).cast("long").alias("failures")))
-        v = F.col("_noise.value")
-        text = F.when(v == F.floor(v), F.floor(v).cast("long").cast("string")).otherwise(v.cast("string"))
-        df = rows.withColumn(c, F.when(v.isNull(), F.col(c)).otherwise(text)).drop("_x", "_u", "_noise")
-    total = failures[0] if failures else df.sparkSession.createDataFrame([], "column string, failures long")
-    for f in failures[1:]:
-        total = total.unionByName(f)
-    return df, total, used
+    if not columns:
+        return df, df.sparkSession.createDataFrame([], "column string, failures long"), used
+    rows, used = drawn(df, columns, order, seed, used)
+    noise = [F.when(F.col(f"_x{i}").isNotNull(), bounded_noise(F.col(f"_x{i}"), F.col(f"_u{i}"), maximum or 100.0, share or 0.05, boundaries)).alias(f"_z{i}") for i in range(len(columns))]
+    moved = settle(rows.select(*(F.col(f"`{c}`") for c in df.columns), *noise), "noised")
+    failed = moved.agg(*(F.coalesce(F.sum(F.col(f"_z{i}.failed").cast("int")), F.lit(0)).cast("long").alias(f"f{i}") for i in range(len(columns))))
+    total = failed.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"f{i}").alias("failures")) for i, c in enumerate(columns)))).alias("x")).select("x.*")
+
+    def cell(i: int, c: str) -> Column:
+        v = F.col(f"_z{i}.value")
+        return F.when(v.isNull(), F.col(f"`{c}`")).otherwise(F.when(v == F.floor(v), F.floor(v).cast("long").cast("string")).otherwise(v.cast("string"))).alias(c)
+
+    at = {c: i for i, c in enumerate(columns)}
+    return moved.select(*(cell(at[c], c) if c in at else F.col(f"`{c}`") for c in df.columns)), total, used

@@ -88,7 +88,8 @@ def with_suggestions(rare: DataFrame, generalisations: DataFrame | None = None)
     """Rare values with what they may be generalised to.
 
     A known category gives its own suggestion or none; an unknown one the first
-    of any category, in list order. The list is small and fixed.
+    of any category, in list order. The list may be a caller's of any size: the
+    planner broadcasts it where its size allows.
     """
     g = generalisations if generalisations is not None else generalisations_table(rare.sparkSession)
     low = g.select("place", F.lower("category").alias("c"), F.lower("value").alias("v"), "suggestion")
@@ -97,7 +98,7 @@ def with_suggestions(rare: DataFrame, generalisations: DataFrame | None = None)
     anywhere = low.groupBy("v").agg(F.min_by("suggestion", "place").alias("any"))
     name, value = F.lower("columnName"), F.lower("value")
     return (
-        rare.join(F.broadcast(own), (name == F.col("c")) & (value == F.col("v1")), "left").join(F.broadcast(known), name == F.col("kc"), "left").join(F.broadcast(anywhere), value == F.col("v"), "left")
+        rare.join(own, (name == F.col("c")) & (value == F.col("v1")), "left").join(known, name == F.col("kc"), "left").join(anywhere, value == F.col("v"), "left")
         .select("column", "columnName", "value", "count", F.when(F.col("kc").isNotNull(), F.col("own")).otherwise(F.col("any")).alias("suggestion"))
     )
 

@@ -156,20 +156,22 @@ def approved_only(flags: DataFrame, decisions: DataFrame, on: Sequence[str]) ->
     return flags.join(decisions.filter("NOT accepted").select(*on), list(on), "left_anti")
 
 
-def roster_hits(texts: DataFrame, key: str, text: str, roster: DataFrame, term: str, words: int = 6) -> DataFrame:
+def roster_hits(texts: DataFrame, key: str, text: str, roster: DataFrame, term: str) -> DataFrame:
     """(key, position, value) of the terms of a roster of any size, leftmost and longest.
 
-    The words of a text, alone and up to ``words`` in a row as they are
-    written, are joined to the roster's terms; no pattern of all terms is built.
-    The parts of a hyphenated word count as words of their own.
+    A word that begins a term, alone and with as many of the words after it as
+    the longest such term has, as they are written, is joined to the roster's
+    terms; no pattern of all terms is built. The parts of a hyphenated word
+    count as words of their own.
     """
     token = r"[\p{L}\p{M}\p{N}_]+"
     at = texts.select(F.col(key).alias("_key"), F.col(text).alias("_t"), matches(F.col(text), token).alias("w"))
     known = roster.select(F.lower(F.trim(F.col(term))).alias("_term")).filter("_term <> ''").distinct()
-    # only words that begin a term are continued
-    begin = known.select(F.regexp_extract("_term", token, 0).alias("_begin")).filter("_begin <> ''").distinct()
-    heads = at.select("_key", "_t", "w", F.posexplode("w").alias("i", "first")).join(begin, F.lower("first.value") == F.col("_begin"), "left_semi")
-    spans = heads.select("_key", "_t", "first", F.explode(F.slice("w", F.col("i") + 1, words)).alias("last"))
+    # only words that begin a term are continued, as far as their longest term goes
+    pieces = F.regexp_extract_all("_term", F.lit(token), F.lit(0))
+    begin = known.select(pieces.alias("p")).filter(F.size("p") > 0).groupBy(F.col("p")[0].alias("_begin")).agg(F.max(F.size("p")).alias("_most"))
+    heads = at.select("_key", "_t", "w", F.posexplode("w").alias("i", "first")).join(begin, F.lower("first.value") == F.col("_begin"))
+    spans = heads.select("_key", "_t", "first", F.explode(F.slice("w", F.col("i") + 1, F.col("_most"))).alias("last"))
     start = F.col("first.position")
     grams = spans.select("_key", start.alias("position"), F.substring("_t", start + 1, F.col("last.position") + F.length("last.value") - start).alias("value"))
     hits = grams.join(known, F.lower("value") == F.col("_term")).select("_key", F.struct("position", "value").alias("h"))

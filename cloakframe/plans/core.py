@@ -18,7 +18,7 @@ from cloakframe.operators.noise import noised_column
 from cloakframe.operators.order import numbered
 from cloakframe.plans import pipeline
 from cloakframe.sources import csv
-from cloakframe.sources.lexicon import GENERALISATIONS, name_bank
+from cloakframe.sources.lexicon import GENERALISATIONS, KEYWORDS, name_bank
 from cloakframe.sources.tables import shared_folder, table
 
 SEED = 42
@@ -195,14 +195,18 @@ def d6_scan_emails(spark, d):
     return _values(spark, d, scan.scan_emails)
 
 
-_WORDS = {"medical": ("clinic", "large print", "support"), "family": ("sister", "brother", "step-brother", "twin", "cousin", "dad", "mum"), "safeguarding": ("social worker", "foster carer", "foster")}
+_WORDS = KEYWORDS
 
 
 def _alternatives(words) -> str:
     return "(?i)\\b(?:" + "|".join(w.replace("-", "\\-") for w in sorted(words, key=lambda x: -len(x))) + ")\\b"
 
 
-@query(" UNION ALL ".join(f"SELECT record_id, '{c}' AS category, value, count(*) AS n FROM (SELECT record_id, unnest(regexp_extract_all(comments, '{_alternatives(_WORDS[c])}')) AS value FROM pupil_records) GROUP BY 1, 3" for c in _WORDS))
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query(" UNION ALL ".join(f"SELECT record_id, '{c}' AS category, value, count(*) AS n FROM (SELECT record_id, unnest(regexp_extract_all(comments, '{_quoted(_alternatives(_WORDS[c]))}')) AS value FROM pupil_records) GROUP BY 1, 3" for c in _WORDS))
 def d2_scan_keywords(spark, d):
     rows = pupils(spark, d).select("record_id", F.explode(scan.scan_keywords(F.col("comments"), _WORDS)).alias("f"))
     return rows.groupBy("record_id", F.col("f.subtype").alias("category"), F.col("f.value").alias("value")).agg(F.count("*").alias("n"))
@@ -240,7 +244,7 @@ def d10_redact_emails(spark, d):
 
 @query("SELECT type, subtype, sum(n)::BIGINT AS flags FROM (" + " UNION ALL ".join(
     [f"SELECT '{k}' AS type, '' AS subtype, len(regexp_extract_all(comments, '{p}')) AS n FROM pupil_records" for k, p in _PATTERNS.items()]
-    + [f"SELECT 'keyword', '{c}', len(regexp_extract_all(comments, '{_alternatives(_WORDS[c])}')) FROM pupil_records" for c in _WORDS]
+    + [f"SELECT 'keyword', '{c}', len(regexp_extract_all(comments, '{_quoted(_alternatives(_WORDS[c]))}')) FROM pupil_records" for c in _WORDS]
 ) + ") GROUP BY 1, 2 HAVING sum(n) > 0")
 def d12_flags_by_type(spark, d):
     rows = pupils(spark, d).select("comments").withColumn("row", F.monotonically_increasing_id())

@@ -147,12 +147,6 @@ def d11_all_flags(spark, d):
     return _all_flags(spark, d).select("record_id", "type", F.coalesce("subtype", F.lit("")).alias("subtype"), "value", "position", "context")
 
 
-@query(" UNION ALL ".join(f"SELECT record_id, '{c}' AS category, value, count(*) AS n FROM (SELECT record_id, unnest(regexp_extract_all(comments, '{_esc(p)}')) AS value FROM pupil_records) GROUP BY 1, 3" for c, p in _LISTS.items()))
-def d2_default_keywords(spark, d):
-    rows = pupils(spark, d).select("record_id", F.explode(scan.scan_keywords(F.col("comments"))).alias("f"))
-    return rows.groupBy("record_id", F.col("f.subtype").alias("category"), F.col("f.value").alias("value")).agg(F.count("*").alias("n"))
-
-
 _EXTRA = ((r"(?i)\b(?:set|room|chapter|page) \d+\b", "place"), (r"\d+%", ""))
 
 

@@ -19,10 +19,10 @@ ORDER = "_ord"
 
 @dataclass
 class Config:
-    """``exact`` mode draws names, noise and shuffle in one seeded sequence and serves a class; ``scale`` serves any size."""
+    """``scale`` mode, the usual one, serves tables of any size; ``exact`` draws names, noise and shuffle in one seeded sequence and serves a class."""
 
     seed: int = 42
-    mode: str = "exact"
+    mode: str = "scale"
     noise: bool = False
     gender_mode: str = "aware"
     k: int | str = "auto"

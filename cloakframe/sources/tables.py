@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,11 +41,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 _written: list[str] = []
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete what settle() wrote in this process, once no table that came of it is needed; returns how many tables."""
-    jvm = spark.sparkContext._jvm
+def sweep(spark: SparkSession | None = None) -> int:
+    """Delete what settle() wrote in this process, once no table that came of it is needed; returns how many tables.
+
+    Results are lazy, so this cannot happen when a query returns; it runs when
+    the process ends, or earlier where a long-lived one calls it.
+    """
+    jvm = spark.sparkContext._jvm if spark is not None else SparkContext._jvm
     done = len(_written)
-    while _written:
+    while _written and jvm is not None:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
     return done
+
+
+@atexit.register
+def _at_the_end() -> None:
+    try:
+        sweep()
+    except Exception:  # noqa: BLE001 - the JVM may be gone before this process
+        pass
