@@ -356,3 +356,18 @@ def i3_missing_answers(spark, d):
         except ValueError as e:
             out.append((t["id"], str(e)))
     return spark.createDataFrame(out, "template string, said string")
+
+
+# --- streams
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type = 'view' AS prompt, lag(event_type = 'view') OVER w AS after, lag(event_id) OVER w AS before FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, before AS prompt, event_id AS answer FROM e WHERE NOT prompt AND after""")
+def a10_relay(spark, d):
+    """Views as prompts and clicks as their answers, at most one view waiting per user, read as a stream."""
+    from cloakframe.streaming import one_pending
+
+    out = folder(spark, "relay")
+    kind = F.when(F.col("event_type") == "view", "prompt").when(F.col("event_type") == "click", "answer")
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select("user_id", "ts", "event_id", kind.alias("kind"), F.col("event_id").alias("body")).filter("kind IS NOT NULL")
+    one_pending(events, "user_id", ["ts", "event_id"], "kind", "body").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, prompt long, answer long").parquet(out)

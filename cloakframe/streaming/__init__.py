@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming import StreamingQuery
 
 from cloakframe.operators import risk, scan
@@ -35,3 +37,31 @@ def relay(prompts: DataFrame, answers: DataFrame, key: str, prompt_time: str, an
     a = answers.withWatermark(answer_time, wait)
     near = F.expr(f"{key} = _key AND {answer_time} >= _asked AND {answer_time} <= _asked + INTERVAL {wait}")
     return a.join(p, near).drop("_key")
+
+
+def one_pending(events: DataFrame, key: str, order: Sequence[str], kind: str, body: str) -> DataFrame:
+    """(key, prompt, answer) from a stream of prompts and answers (``kind`` is ``prompt`` or ``answer``), at most one prompt waiting per key.
+
+    A later prompt takes the place of the one that waits; an answer takes it
+    away; an answer without one is dropped. The state of a key is one prompt,
+    however long its stream.
+    """
+    types = dict(events.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = state.get[0] if state.exists else None
+        out = []
+        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
+        for what, said in zip(rows[kind], rows[body], strict=True):
+            if what == "prompt":
+                waiting = said
+            elif what == "answer" and waiting is not None:
+                out.append((k[0], waiting, said))
+                waiting = None
+        if waiting is None and state.exists:
+            state.remove()
+        elif waiting is not None:
+            state.update((waiting,))
+        yield pd.DataFrame(out, columns=[key, "prompt", "answer"])
+
+    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {types[key]}, prompt {types[body]}, answer {types[body]}", f"prompt {types[body]}", "append", "NoTimeout")

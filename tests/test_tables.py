@@ -1,12 +1,16 @@
+import math
+import re
+
 import parity
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.operators import columns, profile, prompt
+from cloakframe.functions.prng import generator
+from cloakframe.operators import columns, profile, prompt, scan
 from cloakframe.operators.noise import noised_column, noised_table
 from cloakframe.operators.order import numbered
 from cloakframe.sources import csv
-from cloakframe.streaming import relay, scanned
+from cloakframe.streaming import one_pending, relay, scanned
 
 def test_csv_text(spark):
     df = csv.from_text(spark, ' A,B\n"x, ""y""",1\n\n2\n3,4,5 ')
@@ -98,3 +102,37 @@ def test_relay(spark):
     p = spark.sql("SELECT 1 AS id, timestamp'2024-01-01 10:00:00' AS asked, 'q' AS prompt UNION ALL SELECT 2, timestamp'2024-01-01 10:00:00', 'late'")
     a = spark.sql("SELECT 1 AS id, timestamp'2024-01-01 10:30:00' AS said, 'a' AS answer UNION ALL SELECT 2, timestamp'2024-01-01 12:00:00', 'b'")
     assert [(r["id"], r["prompt"], r["answer"]) for r in relay(p, a, "id", "asked", "said").collect()] == [(1, "q", "a")]
+
+
+def test_one_prompt_waits(spark, tmp_path):
+    rows = [(1, 1, "prompt", "a"), (1, 2, "prompt", "b"), (1, 3, "answer", "x"), (1, 4, "answer", "y"), (2, 1, "answer", "z"), (2, 2, "prompt", "c"), (3, 1, "prompt", "d")]
+    later = [(2, 5, "answer", "w"), (3, 6, "prompt", "e"), (3, 7, "answer", "v")]
+    schema = "id long, at long, kind string, body string"
+    for part in (rows, later):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = one_pending(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "id", ["at"], "kind", "body")
+        s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "b", "x"), (2, "c", "w"), (3, "e", "v")}
+
+
+def test_draws_of_several_columns_follow_one_another(spark):
+    cells = [(i, f"{i}" if i % 3 else "Absent", None if i % 4 == 0 else f"{50 + i}%") for i in range(40)]
+    df = spark.createDataFrame(cells, "o long, a string, b string").repartition(5)
+    got = {r["o"]: (r["a"], r["b"]) for r in noised_table(df, ["a", "b"], ["o"], 7, used=3)[0].collect()}
+    following, want = generator(7, 3), {o: [a, b] for o, a, b in cells}
+    for k in (0, 1):
+        for o, *row in cells:
+            m = re.match(r"\d+", row[k] or "")
+            if m:
+                u = following() - 0.5
+                noise = 0.0 if u == 0 else -2.5 * math.copysign(1, u) * math.log(1 - 2 * abs(u))
+                y = float(m[0]) + max(-5.0, min(5.0, noise))
+                want[o][k] = str(int(min(100, max(0, math.copysign(math.floor(abs(y) + 0.5), y)))))
+    assert got == {o: tuple(v) for o, v in want.items()}
+
+
+def test_roster_terms_of_many_pieces(spark):
+    name = "Ana-Lu Bo Ci Di-Ef Ga Ha Il"
+    texts = spark.createDataFrame([(1, f"Today {name} sang. Ana alone. Bo too.")], "id long, t string")
+    hits = scan.roster_hits(texts, "id", "t", spark.createDataFrame([(name,), ("Ana",), ("Bo",)], "n string"), "n").collect()
+    assert {(r["position"], r["value"]) for r in hits} == {(6, name), (40, "Ana"), (51, "Bo")}
