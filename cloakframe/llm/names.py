@@ -224,6 +224,17 @@ class Likeness:
             return 0.0, False
         return s, edits == 1
 
+    def two(self, a: str, b: str, x: str, y: str, own: Collection[str]) -> float:
+        """Similarity of two names of two tokens, in this order."""
+        s, sure = self.tokens(a, x, own)
+        if s <= 0:
+            return 0.0
+        t, also = self.tokens(b, y, own)
+        if t <= 0 or not (sure or also):
+            return 0.0
+        v, w = max(self.weight(a), self.weight(x)), max(self.weight(b), self.weight(y))
+        return (s * v + t * w) / (v + w)
+
     def __call__(self, a: list[str], b: list[str], own: Collection[str] = ()) -> float:
         """Similarity of two names; 0 if a first or last token has no counterpart or no pair of tokens is strong.
 
@@ -238,16 +249,12 @@ class Likeness:
             if len(a) == 3:  # a double-barrelled surname written apart, or joined
                 best = max(self([a[0], a[1] + a[2]], b, own), self([a[0] + a[1], a[2]], b, own))
             a = [a[0], *a[len(a) - len(b) + 1 :]]
-        for order in (b, b[::-1]) if len(b) == 2 else (b,):
-            sims = []
-            for x, y in zip(a, order):
-                s = self.tokens(x, y, own)
-                if s[0] <= 0:
-                    break
-                sims.append(s)
-            if len(sims) == len(a) and any(strong for _, strong in sims):
-                ws = [max(self.weight(x), self.weight(y)) for x, y in zip(a, order)]
-                best = max(best, sum(s * w for (s, _), w in zip(sims, ws)) / sum(ws))
+        if len(a) == 2:
+            return max(best, self.two(a[0], a[1], b[0], b[1], own), self.two(a[0], a[1], b[1], b[0], own))
+        sims = [self.tokens(x, y, own) for x, y in zip(a, b, strict=True)]
+        if min(s for s, _ in sims) > 0 and any(strong for _, strong in sims):
+            ws = [max(self.weight(x), self.weight(y)) for x, y in zip(a, b, strict=True)]
+            best = max(best, sum(s * w for (s, _), w in zip(sims, ws, strict=True)) / sum(ws))
         return best
 
 
@@ -306,7 +313,7 @@ def indexed(rows: DataFrame, tokens: str, cut: str, within: str) -> DataFrame:
 
 def meeting(x: str, y: str) -> Column:
     """Whether the entries ``a`` and ``b`` of one feature make a candidate: equal tokens meet once, under their first feature."""
-    return (F.col("a._f") == F.col("b._f")) & (F.col("a._top") | (F.col(f"a.{x}") != F.col(f"b.{y}")))
+    return (F.col("a._f") == F.col("b._f")) & ((F.col("a._top") & F.col("b._top")) | (F.col(f"a.{x}") != F.col(f"b.{y}")))
 
 
 def tasks(df: DataFrame) -> int:
@@ -359,7 +366,7 @@ class Spellings:
         common = [F.bit_or(c).alias(c) for c in (*self.masks, "steady")]
         distinct = rows.select("class_id", "pupil_name", *bits, steady.alias("steady")).groupBy("class_id", "pupil_name").agg(*common, F.count("*").alias("n"))
         self.names = folded(distinct.select("*", nm), "pupil_name", "names", keep=False, form=sorted_pair, id_of="class_id").withColumnRenamed("folding", "key").filter("key <> ''")
-        self.keys = settle(self.names.groupBy("class_id", "key", "id").agg(*common, F.sum("n").alias("n"), (F.count("*") > 1).alias("several")), "spellings")
+        self.keys = settle(self.names.groupBy("class_id", "key").agg(*common, F.sum("n").alias("n"), (F.count("*") > 1).alias("several")).withColumn("id", F.xxhash64("class_id", "key")), "spellings")
         counts = settle(self.keys.select(F.explode(F.split("key", " ")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("seen")), "tokens")
         most = counts.agg(F.max("seen")).first()[0] or 0
         self.own = settle(counts.filter(F.col("seen") >= max(SEEN, most / PER_SLIP)).select("t"), "own")
@@ -450,12 +457,13 @@ def same_pupils(names: Spellings) -> DataFrame:
     # spellings that are alone and always typed alike have no pair and stay out
     person = names.keys.select("id", "several").join(who, "id", "left").filter("several OR person IS NOT NULL").select("id", F.coalesce("person", "id").alias("person"))
     some = names.names.select("id", "nm").join(person, "id").select("nm", "person")
-    some = names.records.join(some, "nm").select("person", "record_id", "nm", *names.masks)
+    # repeated deliveries count once; the partitioning by person serves the join as well
+    some = names.records.join(some, "nm").repartition("person").groupBy("person", "record_id").agg(F.min("nm").alias("nm"), *(F.bit_or(m).alias(m) for m in names.masks))
     a, b = some.alias("a"), some.alias("b")
     may = (F.col("a.person") == F.col("b.person")) & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.nm") != F.col("b.nm"))
     for m in names.masks:
         may = may & (F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0)
-    return a.join(b, may).select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id")).distinct()
+    return a.join(b, may).select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id"))
 
 
 TITLE = r"(?:[Mm][Rr][Ss]?|[Mm][Ss]|[Mm][Ii][Ss][Ss]|[Dd][Rr])\b"
