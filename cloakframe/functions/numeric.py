@@ -69,9 +69,9 @@ def bounded_noise(value: Column, u: Column, maximum: float = 100.0, share: float
     most = maximum * share
     noise = F.greatest(F.least(F.coalesce(laplace(most / 2, u), F.lit(-most)), F.lit(most)), F.lit(-most))
     moved = round_half_away(value + noise)
-    if boundaries is None:
-        return F.struct(F.least(F.greatest(moved, F.lit(0.0)), F.lit(float(maximum))).alias("value"), F.lit(False).alias("failed"))
+    if boundaries is None:  # the bounds take no part where there is no value
+        return F.struct(F.when(value.isNotNull(), F.least(F.greatest(moved, F.lit(0.0)), F.lit(float(maximum)))).alias("value"), F.lit(False).alias("failed"))
     band = noise_band(value, boundaries, maximum)
     low, high = F.ceil(band["lower"]).cast("double"), band["upper"] - 1
     narrow = high - low < 1
-    return F.struct(F.when(narrow, value).otherwise(F.least(F.greatest(moved, low), high)).alias("value"), narrow.alias("failed"))
+    return F.struct(F.when(narrow | value.isNull(), value).otherwise(F.least(F.greatest(moved, low), high)).alias("value"), narrow.alias("failed"))

@@ -19,7 +19,7 @@ def number_of(df: DataFrame, column: str) -> Column:
 
 
 def drawn(df: DataFrame, columns: Sequence[str], order: list[str], seed: int, base: int = 0) -> tuple[DataFrame, int]:
-    """The rows with ``_x0``, ``_x1``, ...: the cells' numbers or null, and ``_u0``, ``_u1``, ...: the draws that finite cells consume.
+    """The rows with ``_x0``, ``_x1``, ...: the cells' numbers or null, and ``_u0``, ``_u1``, ...: the draws that finite cells consume (of no meaning elsewhere).
 
     The rows are cut into ranges of the order and written once, with the
     numbers of all columns; a draw's number is the count of finite cells of the
@@ -36,7 +36,8 @@ def drawn(df: DataFrame, columns: Sequence[str], order: list[str], seed: int, ba
     before = counts.select("_part", *(F.coalesce(F.sum(f"_n{i}").over(past), F.lit(0)).alias(f"_b{i}") for i in range(len(columns))))
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.select("*", *(F.count(f"_x{i}").over(own).alias(f"_k{i}") for i in range(len(columns)))).join(before, "_part")
-    at = [F.when(F.col(f"_x{i}").isNotNull(), draw(seed, F.col(f"_k{i}") + F.col(f"_b{i}") + start)).alias(f"_u{i}") for i, start in enumerate(starts)]
+    # also where there is no number: inside a condition the parts of a draw that recur would be evaluated each time
+    at = [draw(seed, F.col(f"_k{i}") + F.col(f"_b{i}") + start).alias(f"_u{i}") for i, start in enumerate(starts)]
     keep = [F.col(f"`{c}`") for c in df.columns] + [F.col(f"_x{i}") for i in range(len(columns))]
     return seen.select(*keep, *at), base + sum(whole)
 
@@ -47,8 +48,8 @@ def noised_column(
     """The rows with ``column`` noised (as double, null where it was no number) and ``failed``."""
     rows, _ = drawn(df, [column], order, seed, base)
     noise = bounded_noise(F.col("_x0"), F.col("_u0"), maximum or 100.0, share or 0.05, boundaries)
-    out = rows.withColumn("_noise", F.when(F.col("_x0").isNotNull(), noise))
-    return out.withColumn(column, F.col("_noise.value")).withColumn("failed", F.coalesce("_noise.failed", F.lit(False))).drop("_x0", "_u0", "_noise")
+    out = rows.withColumn("_noise", noise)  # of no number there is no noise
+    return out.withColumn(column, F.col("_noise.value")).withColumn("failed", F.col("_x0").isNotNull() & F.coalesce("_noise.failed", F.lit(False))).drop("_x0", "_u0", "_noise")
 
 
 def noised_table(
@@ -61,9 +62,9 @@ def noised_table(
     if not columns:
         return df, df.sparkSession.createDataFrame([], "column string, failures long"), used
     rows, used = drawn(df, columns, order, seed, used)
-    noise = [F.when(F.col(f"_x{i}").isNotNull(), bounded_noise(F.col(f"_x{i}"), F.col(f"_u{i}"), maximum or 100.0, share or 0.05, boundaries)).alias(f"_z{i}") for i in range(len(columns))]
-    moved = settle(rows.select(*(F.col(f"`{c}`") for c in df.columns), *noise), "noised")
-    failed = moved.agg(*(F.coalesce(F.sum(F.col(f"_z{i}.failed").cast("int")), F.lit(0)).cast("long").alias(f"f{i}") for i in range(len(columns))))
+    noise = [bounded_noise(F.col(f"_x{i}"), F.col(f"_u{i}"), maximum or 100.0, share or 0.05, boundaries).alias(f"_z{i}") for i in range(len(columns))]
+    moved = settle(rows.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"_x{i}") for i in range(len(columns))), *noise), "noised")
+    failed = moved.agg(*(F.coalesce(F.sum(F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_z{i}.failed").cast("int"))), F.lit(0)).cast("long").alias(f"f{i}") for i in range(len(columns))))
     total = failed.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"f{i}").alias("failures")) for i, c in enumerate(columns)))).alias("x")).select("x.*")
 
     def cell(i: int, c: str) -> Column:
