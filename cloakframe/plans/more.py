@@ -147,6 +147,14 @@ def d11_all_flags(spark, d):
     return _all_flags(spark, d).select("record_id", "type", F.coalesce("subtype", F.lit("")).alias("subtype"), "value", "position", "context")
 
 
+_TOKEN = r"[\p{L}\p{M}\p{N}_]+"
+SQL["d1_scan_names"] = f"""WITH c AS (SELECT DISTINCT record_id, comments FROM pupil_records WHERE comments IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY position) AS i FROM ({_at('name', None, _TOKEN)})),
+n AS (SELECT pupil_name AS n FROM pupil_records UNION SELECT staff_name FROM staff), p AS (SELECT n AS term FROM n UNION SELECT unnest(list_filter(string_split_regex(n, '\\s+'), lambda x: length(x) >= 2)) FROM n),
+k AS (SELECT DISTINCT lower(trim(term, ' ')) AS term FROM p WHERE trim(term, ' ') <> ''),
+g AS (SELECT a.record_id, a.position AS s, (b.position + length(b.value))::INT AS e, substr(a.comments, a.position + 1, b.position + length(b.value) - a.position) AS v FROM t a JOIN t b ON a.record_id = b.record_id AND b.i BETWEEN a.i AND a.i + 9),
+h AS (SELECT record_id, list({{'e': e, 'h': [{{'s': s, 'v': v}}]}} ORDER BY s, length(v) DESC) AS x FROM g JOIN k ON lower(v) = term GROUP BY 1),
+z AS (SELECT record_id, list_reduce(x, lambda a, b: CASE WHEN b.h[1].s >= a.e THEN {{'e': b.e, 'h': list_concat(a.h, b.h)}} ELSE a END).h AS hs FROM h)
+SELECT record_id, q.s AS position, q.v AS value FROM (SELECT record_id, unnest(hs) AS q FROM z)"""
 _EXTRA = ((r"(?i)\b(?:set|room|chapter|page) \d+\b", "place"), (r"\d+%", ""))
 
 
