@@ -14,7 +14,28 @@ _MIXED = rf"{_LATIN}[\p{{L}}\p{{M}}]*{_OTHER}|{_OTHER}[\p{{L}}\p{{M}}]*{_LATIN}"
 _ALIKE = r"(?:^|[^\p{L}\p{M}])[асԁеһіјкӏорԛѕԝхуАВСЕНІЈКМОРЅТХУԜαινορτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ]{2,}(?:[^\p{L}\p{M}]|$)"
 _MOSTLY_LATIN = r"len(regexp_extract_all(t, '[\p{Latin}]')) > len(regexp_extract_all(t, '[\p{Cyrillic}\p{Greek}]'))"
 
+#: The nearest entry by edits of whole values without spaces; entries are those of the list and those that the records of a pupil show.
+_CANON = r"""WITH k AS (SELECT field_name AS f, code, label FROM canon_values WHERE code IS NOT NULL),
+x AS (SELECT record_id, class_id, pupil_name, 'gender' AS f, gender AS v FROM pupil_records UNION ALL SELECT record_id, class_id, pupil_name, 'sen', sen FROM pupil_records),
+y AS (SELECT x.*, k.code FROM x LEFT JOIN k ON k.f = x.f AND k.code = x.v WHERE regexp_matches(v, '\S')),
+o AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(v), '&', ' and '), '[.()\[\]''’"]', '', 'g'), '[^\p{L}\p{N}%/]+', ' ', 'g'), ' ') AS p FROM y WHERE code IS NULL),
+s AS (SELECT class_id, pupil_name, f, p, count(*) AS n FROM o WHERE p <> '' AND class_id IS NOT NULL AND pupil_name IS NOT NULL GROUP BY class_id, pupil_name, f, p),
+h AS (SELECT class_id, pupil_name, f, code, count(*) / sum(count(*)) OVER (PARTITION BY class_id, pupil_name, f) AS w FROM y WHERE code IS NOT NULL AND class_id IS NOT NULL AND pupil_name IS NOT NULL GROUP BY class_id, pupil_name, f, code),
+b AS (SELECT f, code, sum(w) / sum(sum(w)) OVER (PARTITION BY f) AS prior FROM h GROUP BY f, code),
+e AS (SELECT s.f, s.p, h.code, sum(h.w) AS w FROM s JOIN h USING (class_id, pupil_name, f) GROUP BY s.f, s.p, h.code),
+u AS (SELECT f, p, arg_max(code, w) AS code, least(max(w) / sum(w), 1) AS q, sum(w) AS units FROM e GROUP BY f, p),
+g AS (SELECT u.*, least(prior, 1 - 1e-9) AS z, (SELECT sum(n) FROM s WHERE s.f = u.f AND s.p = u.p) AS n FROM u JOIN b USING (f, code)),
+a AS (SELECT * FROM g WHERE q >= 0.9 AND q > z AND units * (q * ln(q / z) + CASE WHEN q < 1 THEN (1 - q) * ln((1 - q) / (1 - z)) ELSE 0 END) >= ln(1000)),
+l AS (SELECT f, p, code FROM a QUALIFY n >= 0.1 * max(n) OVER (PARTITION BY f, code)),
+c AS (SELECT f, code, p FROM l UNION SELECT f, code, trim(regexp_replace(regexp_replace(lower(t), '[.()\[\]''’"]', '', 'g'), '[^\p{L}\p{N}%/]+', ' ', 'g'), ' ') FROM (SELECT f, code, unnest([code, label]) AS t FROM k)),
+d AS (SELECT DISTINCT f, v, replace(p, ' ', '') AS j FROM o),
+m AS (SELECT d.f, d.v, c.code, damerau_levenshtein(d.j, replace(c.p, ' ', '')) AS n, greatest(length(d.j), length(replace(c.p, ' ', ''))) AS z FROM d JOIN c USING (f) WHERE d.j <> '' AND abs(length(d.j) - length(replace(c.p, ' ', ''))) <= 2),
+r AS (SELECT f, v, arg_min(code, n::DOUBLE / z) AS code FROM m WHERE n <= CASE WHEN z >= 7 THEN 2 WHEN z >= 3 THEN 1 ELSE 0 END AND 1 - n::DOUBLE / z >= 0.7 OR (n = 1 AND z = 3) GROUP BY f, v)
+SELECT DISTINCT record_id, f AS field_name, coalesce(r.code, 'UNMATCHED') AS code FROM o LEFT JOIN r USING (f, v)"""
+
 SQL: dict[str, str] = {
     "p4_found": f"""WITH x AS (SELECT 'pupil_records' AS origin, record_id AS row_id, pupil_name AS t FROM pupil_records UNION ALL SELECT 'responses', response_id, text FROM responses)
 SELECT DISTINCT origin, row_id FROM x WHERE regexp_matches(t, '{_ODD}') OR nfc_normalize(t) <> t OR regexp_matches(t, '{_MIXED}') OR (regexp_matches(t, '{_ALIKE}') AND {_MOSTLY_LATIN})""",
+    "p5_found": _CANON,
+    "p5_report": f"SELECT field_name, code, count(*) AS entries FROM ({_CANON}) GROUP BY 1, 2",
 }
