@@ -14,7 +14,8 @@ _MIXED = rf"{_LATIN}[\p{{L}}\p{{M}}]*{_OTHER}|{_OTHER}[\p{{L}}\p{{M}}]*{_LATIN}"
 _ALIKE = r"(?:^|[^\p{L}\p{M}])[асԁеһіјкӏорԛѕԝхуАВСЕНІЈКМОРЅТХУԜαινορτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ]{2,}(?:[^\p{L}\p{M}]|$)"
 _MOSTLY_LATIN = r"len(regexp_extract_all(t, '[\p{Latin}]')) > len(regexp_extract_all(t, '[\p{Cyrillic}\p{Greek}]'))"
 
-#: The nearest entry by edits of whole values without spaces; entries are those of the list and those that the records of a pupil show.
+#: The best entry by soft TF-IDF of repaired tokens or by edits of the whole value; entries are those of the list and those that the
+#: records of a pupil show.
 _CANON = r"""WITH k AS (SELECT field_name AS f, code, label FROM canon_values WHERE code IS NOT NULL),
 x AS (SELECT record_id, class_id, pupil_name, 'gender' AS f, gender AS v FROM pupil_records UNION ALL SELECT record_id, class_id, pupil_name, 'sen', sen FROM pupil_records),
 y AS (SELECT x.*, k.code FROM x LEFT JOIN k ON k.f = x.f AND k.code = x.v WHERE regexp_matches(v, '\S')),
@@ -28,9 +29,22 @@ g AS (SELECT u.*, least(prior, 1 - 1e-9) AS z, (SELECT sum(n) FROM s WHERE s.f =
 a AS (SELECT * FROM g WHERE q >= 0.9 AND q > z AND units * (q * ln(q / z) + CASE WHEN q < 1 THEN (1 - q) * ln((1 - q) / (1 - z)) ELSE 0 END) >= ln(1000)),
 l AS (SELECT f, p, code FROM a QUALIFY n >= 0.1 * max(n) OVER (PARTITION BY f, code)),
 c AS (SELECT f, code, p FROM l UNION SELECT f, code, trim(regexp_replace(regexp_replace(lower(t), '[.()\[\]''’"]', '', 'g'), '[^\p{L}\p{N}%/]+', ' ', 'g'), ' ') FROM (SELECT f, code, unnest([code, label]) AS t FROM k)),
-d AS (SELECT DISTINCT f, v, replace(p, ' ', '') AS j FROM o),
-m AS (SELECT d.f, d.v, c.code, damerau_levenshtein(d.j, replace(c.p, ' ', '')) AS n, greatest(length(d.j), length(replace(c.p, ' ', ''))) AS z FROM d JOIN c USING (f) WHERE d.j <> '' AND abs(length(d.j) - length(replace(c.p, ' ', ''))) <= 2),
-r AS (SELECT f, v, arg_min(code, n::DOUBLE / z) AS code FROM m WHERE n <= CASE WHEN z >= 7 THEN 2 WHEN z >= 3 THEN 1 ELSE 0 END AND 1 - n::DOUBLE / z >= 0.7 OR (n = 1 AND z = 3) GROUP BY f, v)
+cc AS (SELECT f, p, min(code) AS code FROM c WHERE p <> '' GROUP BY f, p),
+pl AS (SELECT f, code, min(i) AS place FROM (SELECT f, code, row_number() OVER () AS i FROM k) GROUP BY f, code),
+ct AS (SELECT f, p, code, unnest(list_distinct(string_split(p, ' '))) AS et FROM cc),
+idf AS (SELECT f, et, ln(1 + (SELECT count(*) FROM cc WHERE cc.f = ct.f) / count(DISTINCT p)) AS idf FROM ct GROUP BY f, et),
+nm AS (SELECT f, p, sqrt(sum(idf * idf)) AS norm FROM ct JOIN idf USING (f, et) GROUP BY f, p),
+d AS (SELECT DISTINCT f, v, p, replace(p, ' ', '') AS j FROM o),
+vt AS (SELECT f, v, unnest(list_distinct(list_filter(string_split(p, ' '), lambda t: regexp_matches(t, '[\p{L}\p{N}]')))) AS t FROM d),
+st AS (SELECT f, t, et, 1 - n::DOUBLE / z AS sim FROM (SELECT f, t, et, damerau_levenshtein(t, et) AS n, greatest(length(t), length(et)) AS z FROM (SELECT DISTINCT f, t FROM vt) JOIN idf USING (f) WHERE abs(length(t) - length(et)) <= 2)
+  WHERE n <= CASE WHEN z >= 7 THEN 2 WHEN z >= 3 THEN 1 ELSE 0 END),
+wt AS (SELECT f, v, t, coalesce((SELECT arg_max(idf, sim) FROM st JOIN idf USING (f, et) WHERE st.f = vt.f AND st.t = vt.t), ln(1 + (SELECT count(*) FROM cc WHERE cc.f = vt.f))) AS w FROM vt),
+le AS (SELECT f, v, sqrt(sum(w * w)) AS len FROM wt GROUP BY f, v),
+so AS (SELECT f, v, p, code, sum(dot) AS dot FROM (SELECT wt.f, wt.v, ct.p, ct.code, et, max(sim * w * idf) AS dot FROM wt JOIN st USING (f, t) JOIN ct USING (f, et) JOIN idf USING (f, et) GROUP BY wt.f, wt.v, ct.p, ct.code, et) GROUP BY f, v, p, code),
+m AS (SELECT f, v, code, least(dot / (norm * len), 1) AS score FROM so JOIN nm USING (f, p) JOIN le USING (f, v)
+  UNION ALL SELECT f, v, code, 1 - n::DOUBLE / z FROM (SELECT d.f, d.v, cc.code, damerau_levenshtein(d.j, replace(cc.p, ' ', '')) AS n, greatest(length(d.j), length(replace(cc.p, ' ', ''))) AS z FROM d JOIN cc USING (f) WHERE d.j <> '')
+  WHERE n <= CASE WHEN z >= 7 THEN 2 WHEN z >= 3 THEN 1 ELSE 0 END),
+r AS (SELECT f, v, arg_max(code, (round(score, 9), -place)) AS code FROM m JOIN pl USING (f, code) WHERE score >= 0.7 GROUP BY f, v)
 SELECT DISTINCT record_id, f AS field_name, coalesce(r.code, 'UNMATCHED') AS code FROM o LEFT JOIN r USING (f, v)"""
 
 SQL: dict[str, str] = {
