@@ -31,6 +31,18 @@ def surname_first(name: str) -> str | None:
     return f"{words[1]}, {words[0]}" if len(words) == 2 else None
 
 
+def with_reversed(mapping: DataFrame, on: str) -> DataFrame:
+    """(on, fake_name, real_name): the entries of a mapping and, of pseudonyms of two words, the form with the surname first.
+
+    A form that stands for several people, or is itself an entry, is left out.
+    """
+    m = mapping.select(on, "fake_name", "real_name")
+    words = F.split(F.trim("fake_name"), r"\s+")
+    turned = m.filter(F.size(words) == 2).groupBy(on, F.concat(words[1], F.lit(", "), words[0]).alias("fake_name")).agg(F.min("real_name").alias("real_name"), F.countDistinct("real_name").alias("n"))
+    new = turned.filter("n = 1").drop("n").join(m.select(on, "fake_name").distinct(), [on, "fake_name"], "left_anti")
+    return m.unionByName(new).distinct()
+
+
 def _any_of(names) -> str:
     return "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
 

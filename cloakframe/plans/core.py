@@ -467,10 +467,7 @@ def h13_restore_global(spark, d):
 @query("SELECT upload_id, fake_name, real_name FROM name_mappings UNION SELECT upload_id, split_part(fake_name, ' ', 2) || ', ' || split_part(fake_name, ' ', 1), any_value(real_name) FROM name_mappings m WHERE len(string_split_regex(trim(fake_name), '\\s+')) = 2 GROUP BY 1, 2 HAVING count(DISTINCT real_name) = 1")
 def h2_reversed_names(spark, d):
     """Mapping entries and their surname-first forms; an ambiguous form is left out."""
-    m = table(spark, d, "name_mappings").select("upload_id", "fake_name", "real_name")
-    words = F.split(F.trim("fake_name"), r"\s+")
-    turned = m.filter(F.size(words) == 2).groupBy("upload_id", F.concat(words[1], F.lit(", "), words[0]).alias("fake_name")).agg(F.min("real_name").alias("real_name"), F.countDistinct("real_name").alias("n"))
-    return m.unionByName(turned.filter("n = 1").drop("n")).distinct()
+    return restore.with_reversed(table(spark, d, "name_mappings"), "upload_id")
 
 
 # --- I: prompts

@@ -127,3 +127,11 @@ def test_what_is_anonymised_can_be_restored(spark):
         back = {r["text"] for r in restore.restore(text, mapping, "u", "r").collect()}
         assert back == {r["Name"] for r in df.collect()}
     assert pipeline.anonymise(df, pipeline.Config(one_way=True)).mapping is None
+
+
+def test_reversed_names_of_a_mapping(spark):
+    rows = [(1, "S01", "Ann Bo", "X"), (1, "S02", "Cy Di", "Y"), (1, "S03", "Cy Di", "Z"), (1, "S04", "Ev", "W"), (1, "S05", "Bo, Ann", "V"), (2, "S01", "Ann  Bo", None)]
+    m = spark.createDataFrame(rows, "u long, id_token string, fake_name string, real_name string")
+    got = {tuple(r) for r in restore.with_reversed(m, "u").collect()} - {(u, f, r) for u, _, f, r in rows}
+    assert got == {(1, "Ann, Bo,", "V")}  # the others are ambiguous, an entry already, or without a real name
+    assert (1, "Bo, Ann", "X") in {tuple(r) for r in restore.with_reversed(m.filter("id_token <> 'S05'"), "u").collect()} and restore.surname_first("Ann Bo") == "Bo, Ann"
